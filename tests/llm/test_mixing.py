@@ -1,3 +1,4 @@
+import math
 import random
 from collections import defaultdict
 
@@ -35,7 +36,7 @@ def test_mix_against_brute_force(spark):
     for s, items in by_source.items():
         each, first = goal[s] / total[s], M.offset_of(s)
         for n, (_, i) in enumerate(sorted(items)):
-            want[i] = int(first + each * (n + 1) // 1) - int(first + each * n // 1)
+            want[i] = math.floor(first + each * (n + 1)) - math.floor(first + each * n)
     for r in rows:
         assert r.size == size[r.doc_id] and r.copies == want[r.doc_id] <= 2
         assert r.source_size == total[r.source] and abs(r.target - goal[r.source]) < 1e-9
