@@ -196,3 +196,33 @@ def group_ranks(df: DataFrame, key: str, order: list[str], name: str) -> tuple[D
     offsets = counts.select("_k", "_p", F.coalesce(F.sum(F.col("_n") + 1).over(before), F.lit(0)).alias("_off"))
     ranked = rows.join(offsets, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_pid") == F.col("_p"))).select(*fields, (F.col("_at") + F.col("_off")).alias("rank"))
     return ranked, rows
+
+
+def key_runs(batches, keys: list[str]):
+    """Tables of whole runs of equal ``keys`` from sorted batches; a run may span batches.  Runs
+    that end within a batch are handed out together as slices, so small groups stay cheap."""
+    held: list[pa.RecordBatch] = []
+
+    def same(a: pa.RecordBatch, i: int, b: pa.RecordBatch, j: int) -> bool:
+        return all(a.column(k)[i].as_py() == b.column(k)[j].as_py() for k in keys)
+
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        cut = np.zeros(n, bool)
+        for k in keys:
+            x = batch.column(k).to_numpy(zero_copy_only=False)
+            cut[1:] |= x[1:] != x[:-1]
+        starts = np.flatnonzero(cut)
+        if held and not same(held[-1], held[-1].num_rows - 1, batch, 0):
+            yield pa.Table.from_batches(held)
+            held = []
+        begin = 0
+        for s in starts.tolist():
+            held.append(batch.slice(begin, s - begin))
+            yield pa.Table.from_batches(held)
+            held, begin = [], s
+        held.append(batch.slice(begin))
+    if held:
+        yield pa.Table.from_batches(held)
