@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from claimloom.llm import mixing, neardup, packing
+from claimloom.llm import mixing, neardup, packing, suffixdedup
 
 QUERIES = {
+    "op2_suffix_dedup": suffixdedup.op2_suffix_dedup,
     "op6_near_duplicates": neardup.op6_near_duplicates,
     "op9_mix_sources": mixing.op9_mix_sources,
     "op10_pack_best_fit": packing.op10_pack_best_fit,
