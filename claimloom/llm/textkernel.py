@@ -15,6 +15,9 @@ from claimloom.llm._common import mix64
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+#: Everything in ASCII but letters and digits, for words without their punctuation.
+PUNCTUATED = np.zeros(256, bool)
+PUNCTUATED[:128] = [not chr(c).isalnum() for c in range(128)]
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -48,13 +51,14 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
-def words(data: np.ndarray, offs: np.ndarray, fold: bool = True):
+def words(data: np.ndarray, offs: np.ndarray, fold: bool = True, between: np.ndarray = _SPACE):
     """Hashes of all words: (hash, start, end, first) where ``first[d]`` is the number of words
-    before text ``d`` (so ``first`` has one entry more than there are texts)."""
+    before text ``d`` (so ``first`` has one entry more than there are texts).  ``between`` marks the
+    bytes that stand between words."""
     n = len(data)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offs), np.int64)
-    inside = ~_SPACE[data]
+    inside = ~between[data]
     edge = np.zeros(n + 1, bool)
     edge[1:n] = inside[1:] != inside[:-1]
     edge[0], edge[n] = inside[0], inside[-1]
