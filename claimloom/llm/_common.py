@@ -80,6 +80,16 @@ def byte_slices(offs: np.ndarray, most: int = 4 << 20):
         lo = hi
 
 
+def even_keys(spark: SparkSession, n: int) -> np.ndarray:
+    """Longs k_0 ... k_(n-1) such that ``repartition(n, column)`` sends k_i to partition i, so that
+    n buckets fill n partitions one each."""
+    found = spark.range(0, 16 * n + 64, 1, 1).select("id", F.pmod(F.hash("id"), F.lit(n)).alias("p")).groupBy("p").agg(F.min("id").alias("id")).collect()  # n rows
+    out = np.arange(n, dtype=np.int64) + 16 * n + 64
+    for r in found:
+        out[r["p"]] = r["id"]
+    return out
+
+
 def long_col(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return batch.column(name).to_numpy(zero_copy_only=False)
 

@@ -162,12 +162,12 @@ def anchors(data: np.ndarray, offs: np.ndarray, n: int, c: int):
         yield text[cut], (starts[cut] - offs[text[cut]]).astype(np.int64), windows, C.mix64(gram[p]), nh
 
 
-def _blobs(rows: np.ndarray, bucket: np.ndarray):
-    """(bucket, bytes) of the rows of each bucket."""
+def _blobs(rows: np.ndarray, bucket: np.ndarray, keys: np.ndarray):
+    """(key of the bucket, bytes) of the rows of each bucket."""
     order = np.argsort(bucket, kind="stable")
     rows, bucket = rows[order], bucket[order]
     cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(rows) else []
-    return [(int(bucket[a]), rows[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:])]
+    return [(int(keys[bucket[a]]), rows[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:])]
 
 
 def _doc_bucket(doc: np.ndarray, n: int) -> np.ndarray:
@@ -175,15 +175,10 @@ def _doc_bucket(doc: np.ndarray, n: int) -> np.ndarray:
     return (x ^ (x >> 17) ^ (x >> 31)) % n
 
 
-def _doc_bucket_col(doc: Column, n: int) -> Column:
-    return F.pmod(doc.bitwiseXOR(F.shiftright(doc, 17)).bitwiseXOR(F.shiftright(doc, 31)), F.lit(n))
-
-
-def _prime(n: int) -> int:
-    n = max(n, 3) | 1
-    while any(n % d == 0 for d in range(3, int(n**0.5) + 1, 2)):
-        n += 2
-    return n
+def _doc_bucket_col(doc: Column, keys: np.ndarray) -> Column:
+    n = F.lit(len(keys))
+    at = F.pmod(doc.bitwiseXOR(F.shiftright(doc, 17)).bitwiseXOR(F.shiftright(doc, 31)), n)
+    return F.get(F.lit(keys.tolist()), at.cast("int")).cast("long")
 
 
 MOVED = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("blob", T.BinaryType())])
@@ -296,7 +291,7 @@ def cut_repeats(docs: DataFrame, n: int = N_BYTES, context: int = CONTEXT, id_co
     (array of struct(start, stop), the maximal removed runs), kept (binary)."""
     spark = docs.sparkSession
     parts = C.shuffle_parts(spark)
-    buckets, doc_buckets = _prime(4 * parts), _prime(3 * parts)
+    keys = C.even_keys(spark, parts)  # one bucket for each partition, of hashes as of documents
     rest = [c for c in docs.columns if c != text_col]
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), F.col(text_col).alias("text"), F.struct(*rest).alias("row"))
 
@@ -311,7 +306,7 @@ def cut_repeats(docs: DataFrame, n: int = N_BYTES, context: int = CONTEXT, id_co
                 held.append(rows)
             if held:
                 rows = np.concatenate(held)
-                yield from _send((b, 0, x) for b, x in _blobs(rows, (rows["h"] % np.uint64(buckets)).astype(np.int64)))
+                yield from _send((b, 0, x) for b, x in _blobs(rows, (rows["h"] % np.uint64(parts)).astype(np.int64), keys))
 
     def collapse(batches):
         for _, blobs in _buckets(batches):
@@ -339,8 +334,8 @@ def cut_repeats(docs: DataFrame, n: int = N_BYTES, context: int = CONTEXT, id_co
             for f in ("doc", "h", "lo", "n"):
                 want[f] = rows[f][asked]
             want["salts"] = np.minimum(1 + kinds[asked].astype(np.int64) // SALT_SEGMENTS, 65535)
-            yield from _send((b, 0, x) for b, x in _blobs(gone, _doc_bucket(gone["doc"], doc_buckets)))
-            yield from _send((b, 1, x) for b, x in _blobs(want, _doc_bucket(want["doc"], doc_buckets)))
+            yield from _send((b, 0, x) for b, x in _blobs(gone, _doc_bucket(gone["doc"], parts), keys))
+            yield from _send((b, 1, x) for b, x in _blobs(want, _doc_bucket(want["doc"], parts), keys))
 
     def by_bucket(df: DataFrame) -> DataFrame:
         return df.repartition(parts, "bucket").sortWithinPartitions("bucket", "kind")
@@ -353,7 +348,7 @@ def cut_repeats(docs: DataFrame, n: int = N_BYTES, context: int = CONTEXT, id_co
 
     def meet(texts: DataFrame, moved: DataFrame) -> DataFrame:
         """Texts after the blobs of their bucket; an open text brings its own ranges as a blob."""
-        rows = texts.select(_doc_bucket_col(F.col("id"), doc_buckets).alias("bucket"), F.lit(9).alias("kind"), "blob", "id", "text", "row")
+        rows = texts.select(_doc_bucket_col(F.col("id"), keys).alias("bucket"), F.lit(9).alias("kind"), "blob", "id", "text", "row")
         sent = moved.select("bucket", "kind", "blob", empty("long").alias("id"), empty("string").alias("text"), empty(row_type).alias("row"))
         return rows.to(both).unionByName(sent.to(both)).repartition(parts, "bucket").sortWithinPartitions("bucket", "kind", "id")
 
@@ -461,7 +456,7 @@ def cut_repeats(docs: DataFrame, n: int = N_BYTES, context: int = CONTEXT, id_co
             for f in ("h", "doc", "lo", "n", "salts"):
                 seg[f] = w[f]
             salt = C.mix64(w["doc"].view(np.uint64)) % np.maximum(w["salts"], 1).astype(np.uint64)
-            bucket = ((w["h"] + salt * np.uint64(7919)) % np.uint64(buckets)).astype(np.int64)
+            bucket = ((w["h"] + salt * np.uint64(7919)) % np.uint64(parts)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             cuts = np.flatnonzero(np.concatenate([[True], bucket[order][1:] != bucket[order][:-1], [True]])) if len(order) else np.zeros(1, int)
             out = []
@@ -469,13 +464,18 @@ def cut_repeats(docs: DataFrame, n: int = N_BYTES, context: int = CONTEXT, id_co
                 take = order[x:y]
                 length = w["n"][take].astype(np.int64) - 1 + n
                 index = np.repeat(place[take] - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
-                out.append((int(bucket[take[0]]), len(take).to_bytes(8, "little") + seg[take].tobytes() + data[index].tobytes()))
+                out.append((int(keys[bucket[take[0]]]), len(take).to_bytes(8, "little") + seg[take].tobytes() + data[index].tobytes()))
             for lo in range(0, len(out), 2000):
                 some = out[lo : lo + 2000]
                 yield pad([("kind", pa.array(np.full(len(some), 2, np.int32))), ("bucket", pa.array([x for x, _ in some], pa.int64())), ("blob", pa.array([x for _, x in some], pa.binary()))], len(some))
 
     stage = C.written(meet(base.withColumn("blob", empty("binary")), found).mapInArrow(open_texts, opened), "opened")
 
+    def send_ranges(held: list):
+        if held:
+            gone = np.concatenate(held)
+            yield from _send((b, 0, x) for b, x in _blobs(gone, _doc_bucket(gone["doc"], parts), keys))
+
     def sort_segments(batches):
         for _, blobs in _buckets(batches):
             seg, texts = [], []
@@ -486,13 +486,19 @@ def cut_repeats(docs: DataFrame, n: int = N_BYTES, context: int = CONTEXT, id_co
                 seg.append(rows)
                 at = 8 + m * SEGMENT.itemsize + np.concatenate([[0], np.cumsum(rows["n"].astype(np.int64) - 1 + n)])
                 texts += [x[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist())]
+            held, size = [], 0
             for gone, left in _sort_groups(np.concatenate(seg), texts, n):
-                yield from _send((b, 0, x) for b, x in _blobs(gone, _doc_bucket(gone["doc"], doc_buckets)))
+                held.append(gone)
+                size += len(gone)
+                if size > 1 << 20:
+                    yield from send_ranges(held)
+                    held, size = [], 0
                 if left is not None:
                     rows = np.zeros(len(left[0]), LEFT)
                     for f, x in zip(("a", "b", "doc", "start"), left):
                         rows[f] = x
                     yield _moved([(-1, 5, rows.tobytes())])
+            yield from send_ranges(held)
 
     sorted_out = C.written(by_bucket(stage.where("kind = 2").select("bucket", "kind", "blob")).mapInArrow(sort_segments, MOVED), "sorted")
     sent = sorted_out.where("kind = 0")
@@ -512,7 +518,7 @@ def cut_repeats(docs: DataFrame, n: int = N_BYTES, context: int = CONTEXT, id_co
             for batch in batches:
                 gone = np.zeros(batch.num_rows, RANGE)
                 gone["doc"], gone["lo"], gone["n"] = C.long_col(batch, "doc"), C.long_col(batch, "start"), 1
-                yield from _send((b, 0, x) for b, x in _blobs(gone, _doc_bucket(gone["doc"], doc_buckets)))
+                yield from _send((b, 0, x) for b, x in _blobs(gone, _doc_bucket(gone["doc"], parts), keys))
 
         sent = sent.unionByName(late.mapInArrow(repack, MOVED))
 
