@@ -135,7 +135,7 @@ def nearest(rows: DataFrame, k: int = TOP_K, every: int = 20, tables: int = TABL
     """Columns query_id, rank (from 1), vec_id, score; queries are the rows with id % every = 0."""
     spark = rows.sparkSession
     parts = C.shuffle_parts(spark)
-    slots = 4 * parts
+    slots, keys = parts, C.even_keys(spark, parts)  # one slot for each partition
     vectors = C.written(valid_vectors(rows, id_col, vec_col), "vectors")
     by_vector = Window.partitionBy("vec").orderBy("id")
     members = vectors.select("id", "vec", "dim").withColumn("n", F.row_number().over(by_vector)).where(F.col("n") <= k + 1)
@@ -168,7 +168,7 @@ def nearest(rows: DataFrame, k: int = TOP_K, every: int = 20, tables: int = TABL
     salts = {r["bucket"]: -(-r["n"] // fair) for r in sizes.where(F.col("n") > fair).collect()}
 
     def slot_of(bucket: np.ndarray, salt: np.ndarray) -> np.ndarray:
-        return (C.mix64(bucket.view(np.uint64) + salt.astype(np.uint64), 31) % np.uint64(slots)).astype(np.int64)
+        return keys[(C.mix64(bucket.view(np.uint64) + salt.astype(np.uint64), 31) % np.uint64(slots)).astype(np.int64)]
 
     hot = np.array(sorted(salts), np.int64)
     shares = np.array([salts[b] for b in sorted(salts)], np.int64)
