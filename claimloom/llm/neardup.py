@@ -35,6 +35,7 @@ from claimloom.llm import textkernel as K
 BANDS, ROWS = 25, 5
 SLICE = 8 << 20
 BLOCK_DOCS = 1500
+SALTS = 16
 BLOCK_SHINGLES = 2_000_000
 
 
@@ -196,7 +197,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
                 yield C.record([("a", pa.array(a, pa.int64())), ("b", pa.array(b, pa.int64()))])
 
     links = C.min_components(laid.mapInArrow(link, "a long, b long"), "links")
-    own = prints.select(id_col, "n_shingles", "set_a", "set_b").join(classes, ["set_a", "set_b", "n_shingles"], "left")
+    # only sets with copies need the join; these are salted, for one set may hold a third of all rows
+    key = ["set_a", "set_b", "n_shingles"]
+    copied = prints.where("n_shingles > 0").groupBy(*key).agg(F.min(id_col).alias("rep"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    copied = copied.select(*key, "rep", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")).alias("salt"))
+    own = prints.select(id_col, *key, F.pmod(F.xxhash64(id_col), F.lit(SALTS)).alias("salt")).join(copied, [*key, "salt"], "left")
+    own = own.withColumn("rep", F.coalesce("rep", F.when(F.col("n_shingles") > 0, F.col(id_col))))
     out = own.join(links, own["rep"] == links["id"], "left")
     component = F.coalesce("component", "rep", F.col(id_col))
     return out.select(id_col, "n_shingles", component.alias("component_id"), F.coalesce(F.col(id_col) == component, F.lit(False)).alias("kept"))
