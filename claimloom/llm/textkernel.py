@@ -77,6 +77,19 @@ def words(data: np.ndarray, offs: np.ndarray, fold: bool = True, between: np.nda
     return h, start, end, np.searchsorted(start, offs)
 
 
+def prefixes(data: np.ndarray, start: np.ndarray, end: np.ndarray, sizes, fold: bool = True):
+    """(k, hashes, which) of the k-byte prefixes of the words longer than k bytes."""
+    if not len(data):
+        return
+    up, down = _powers(len(data))
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_codes(fold)[data] * up[: len(data)], out=sums[1:])
+    for k in sizes:
+        which = np.flatnonzero(end - start > k)
+        s = start[which]
+        yield k, mix64(((sums[s + k] - sums[s]) * down[s]) ^ np.uint64(1_000_003 * (k + 1))), which
+
+
 def shingles(h: np.ndarray, first: np.ndarray, k: int):
     """Hashes of k-word shingles with the text of each; a text with 1 to k-1 words has its whole
     sequence as its one shingle, an empty text has none."""

@@ -1,13 +1,13 @@
 """Toxicity grades by cumulative-link ordinal regression on sparse text features.
 
 P(grade >= k) = sigmoid(w . x - theta_k) with one weight vector for all thresholds and ordered
-thetas; the expected severity is the sum of these over k.  Features are hashed words (letters and
-digits, A-Z folded), present or not.
+thetas; the expected severity is the sum of these over k.  Features are hashed words (runs
+without ASCII punctuation, A-Z folded) and their proper prefixes of 3 to 9 bytes, present or not.
 
 The fit uses a bounded sample of labelled documents (``sample`` rows, those of least hash of the
 id).  Near copies in the sample count once, else the chance words of a much copied text look like
-evidence; a word enters when its split between clean and toxic texts passes a test corrected for
-the number of words tried.  Scoring runs over every document's whole text.
+evidence; a word enters when most texts with it are toxic, by a test corrected for the number of words
+tried.  Scoring runs over every document's whole text.
 
 Edges: null and empty texts have no features and get the base rate; labels that are null are not
 learned from; with one grade only, or no labels, severity is the base rate and nothing is
@@ -24,14 +24,28 @@ from pyspark.sql import functions as F
 from claimloom.llm import _common as C
 from claimloom.llm import textkernel as K
 
-SAMPLE = 8000
-RIDGE = 0.1
+SAMPLE = 5000
+PREFIXES = range(3, 10)
+RIDGE = 0.01
 SLICE = 8 << 20
 
 
+def features(data: np.ndarray, offs: np.ndarray):
+    """(hash, text) of every word and of the proper prefixes of 3 to 9 bytes of longer words, which
+    stand for the stems of compounds and of inflected words."""
+    h, start, end, first = K.words(data, offs, between=K.PUNCTUATED)
+    doc = np.repeat(np.arange(len(offs) - 1), np.diff(first))
+    all_h, all_d = [h], [doc]
+    for k, part, which in K.prefixes(data, start, end, PREFIXES):
+        all_h.append(part)
+        all_d.append(doc[which])
+    return np.concatenate(all_h), np.concatenate(all_d)
+
+
 def word_sets(data: np.ndarray, offs: np.ndarray):
-    h, _, _, first = K.words(data, offs, between=K.PUNCTUATED)
-    return K.distinct(h, np.repeat(np.arange(len(offs) - 1), np.diff(first)), len(offs) - 1)
+    h, doc = features(data, offs)
+    order = np.argsort(doc, kind="stable")
+    return K.distinct(h[order], doc[order], len(offs) - 1)
 
 
 def one_of_each(sets: list[np.ndarray]) -> np.ndarray:
@@ -48,18 +62,44 @@ def one_of_each(sets: list[np.ndarray]) -> np.ndarray:
     return keep
 
 
-def telling_words(sets: list[np.ndarray], high: np.ndarray, wrong: float = 0.01) -> np.ndarray:
-    """Words whose share among high-grade texts is not chance, after Bonferroni's correction."""
+def _evidence(a: np.ndarray, c: np.ndarray, p: float) -> np.ndarray:
+    """Log-likelihood gain of the share a / c over the share p."""
+    q = a / np.maximum(c, 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        kl = np.nan_to_num(q * np.log(q / p)) + np.nan_to_num((1 - q) * np.log((1 - q) / (1 - p)))
+    return np.where((q >= 0.5) & (q > p), c * kl, 0.0)
+
+
+def telling_words(sets: list[np.ndarray], high: np.ndarray, wrong: float = 0.01, rare: float = 0.005, shared: float = 0.1) -> np.ndarray:
+    """Words that stand in texts of high grade more often than not, and more than by chance after
+    Bonferroni's correction.  Texts that share passages are not independent: among the texts with a
+    word, those that share a tenth of their rare words (in one of 200 texts at most) with one counted
+    before do not count."""
     if not sets or high.all() or not high.any():
         return np.zeros(0, np.uint64)
     every, back = np.unique(np.concatenate(sets), return_inverse=True)
-    marks = np.repeat(high, [len(x) for x in sets])
-    a = np.bincount(back, weights=marks, minlength=len(every))
-    c = np.bincount(back, minlength=len(every)).astype(float)
-    p, q = high.mean(), a / np.maximum(c, 1)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        kl = np.nan_to_num(q * np.log(q / p)) + np.nan_to_num((1 - q) * np.log((1 - q) / (1 - p)))
-    return every[c * kl > np.log(max(len(every), 1) / wrong)]
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    c = np.bincount(back, minlength=len(every))
+    p, least = high.mean(), np.log(max(len(every), 1) / wrong)
+    first = np.flatnonzero(_evidence(np.bincount(back, weights=high[owner], minlength=len(every)), c, p) > least)
+    seldom = (c <= max(2, rare * len(sets)))[back]
+    bounds = np.searchsorted(owner, np.arange(len(sets) + 1))
+    few = {}
+    keep = []
+    for w in first:
+        counted: list[set[int]] = []
+        a = 0
+        for d in owner[back == w].tolist():
+            if d not in few:
+                part = slice(bounds[d], bounds[d + 1])
+                few[d] = set(back[part][seldom[part]].tolist())
+            mine = few[d] - {w}
+            if any(len(mine & x) >= max(2, shared * min(len(mine), len(x))) for x in counted):
+                continue
+            counted.append(mine)
+            a += int(high[d])
+        keep.append(_evidence(np.array([a]), np.array([len(counted)]), p)[0] > least)
+    return every[first[np.array(keep, bool)]]
 
 
 def fit_ordinal(x: np.ndarray, grade: np.ndarray, top: int, ridge: float = RIDGE, steps: int = 400):
@@ -87,6 +127,15 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, top: int, ridge: float = RIDGE
     return w, theta
 
 
+def split_grades(x: np.ndarray, grade: np.ndarray) -> np.ndarray:
+    """Where labels tell only toxic from clean, toxic texts with more telling words than their
+    median are of grade 2."""
+    if grade.max(initial=0) != 1:
+        return grade
+    count = x.sum(1)
+    return np.where((grade == 1) & (count > np.median(count[grade == 1])), 2, grade)
+
+
 def fit(docs: DataFrame, grades: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text"):
     """``grades``: columns id_col, grade (int from 0).  Returns (words, weights, thetas)."""
     some = grades.where("grade IS NOT NULL").groupBy(id_col).agg(F.max("grade").alias("grade"))
@@ -110,6 +159,7 @@ def fit(docs: DataFrame, grades: DataFrame, sample: int = SAMPLE, id_col: str =
     sets, grade = [s for s, k in zip(sets, keep) if k], grade[keep]
     words = telling_words(sets, grade > 0)
     x = np.array([np.isin(words, s) for s in sets], float).reshape(len(sets), len(words))
+    grade = split_grades(x, grade)
     return words, *fit_ordinal(x, grade, max(int(grade.max()), 1))
 
 
@@ -118,17 +168,19 @@ def _scorer(model):
     words, w, _ = model
     order = np.argsort(words)
     words, w = words[order], w[order]
+    sieve = np.zeros(1 << 20, bool)
+    sieve[(words >> np.uint64(44)).astype(np.int64)] = True
 
     def score(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
         n = len(offs) - 1
         out = np.zeros(n)
         for lo, hi in C.byte_slices(offs, SLICE) if len(words) else ():
-            h, _, _, first = K.words(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], between=K.PUNCTUATED)
-            at = np.searchsorted(words, h)
+            h, doc = features(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
+            hit = np.flatnonzero(sieve[(h >> np.uint64(44)).astype(np.int64)])
+            at = np.searchsorted(words, h[hit])
             at[at == len(words)] = 0
-            hit = np.flatnonzero(words[at] == h)
-            doc = np.searchsorted(first, hit, side="right") - 1
-            pair = np.unique(doc * len(words) + at[hit])
+            same = words[at] == h[hit]
+            pair = np.unique(doc[hit[same]] * len(words) + at[same])
             out[lo:hi] = np.bincount(pair // len(words), weights=w[pair % len(words)], minlength=hi - lo)
         return out
 
@@ -148,9 +200,9 @@ def grade_documents(docs: DataFrame, model, id_col: str = "doc_id", text_col: st
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, severity double, p_toxic double, grade int, toxic boolean, kept boolean")
 
 
-def severity_labels(labels: DataFrame) -> DataFrame:
-    """Grades from the two labels: 0 not toxic, 1 toxic, 2 toxic and of low quality."""
-    return labels.where("toxic IS NOT NULL").select("doc_id", F.when(F.col("toxic") <= 0, 0).when(F.coalesce(F.col("quality"), F.lit(1)) >= 1, 1).otherwise(2).cast("int").alias("grade"))
+def toxic_labels(labels: DataFrame) -> DataFrame:
+    """Grades 0 and 1 from the table of labels."""
+    return labels.where("toxic IS NOT NULL").select("doc_id", (F.col("toxic") > 0).cast("int").alias("grade"))
 
 
 def clean_documents(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -167,5 +219,5 @@ def clean_documents(docs: DataFrame, model, id_col: str = "doc_id", text_col: st
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.read_table(spark, sf_dir, "documents")
-    model = fit(docs, severity_labels(C.read_table(spark, sf_dir, "labels")))
+    model = fit(docs, toxic_labels(C.read_table(spark, sf_dir, "labels")))
     return grade_documents(docs, model)

@@ -66,5 +66,5 @@ def test_nothing_to_learn(spark):
     assert all(r.kept for r in X.grade_documents(docs, model).collect())
     assert X.grade_documents(docs.where("doc_id > 9"), model).collect() == []
     assert X.clean_documents(docs, model).columns == docs.columns
-    labels = spark.createDataFrame([(1, 0, 0), (1, None, 0), (0, 1, 1), (None, 1, 1)], "quality int, toxic int, doc_id long")
-    assert sorted(r.grade for r in X.severity_labels(labels).collect()) == [0, 1, 2]
+    labels = spark.createDataFrame([(0, 0), (None, 0), (1, 1)], "toxic int, doc_id long")
+    assert sorted(r.grade for r in X.toxic_labels(labels).collect()) == [0, 1]
