@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimloom.llm import _common as C
@@ -70,12 +70,17 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP,
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     """The documents themselves, each as many times as the mix takes it; columns of the input."""
-    copies = mix(docs, id_col=id_col, **how).where("copies > 0").groupBy(F.col(id_col).alias("_id")).agg(F.sum("copies").alias("_n"), F.count(F.lit(1)).alias("_rows"))
-    # repeated rows of one id share its copies, dealt by a number within the id
-    from pyspark.sql import Window
-
-    numbered = docs.withColumn("_i", F.row_number().over(Window.partitionBy(id_col).orderBy(*[F.col(c) for c in docs.columns if c != id_col])))
-    return numbered.join(copies, F.col(id_col).eqNullSafe(F.col("_id"))).withColumn("_c", F.explode(F.expr("sequence(1, cast(_n as int))"))).where("(_c - 1) % _rows + 1 = _i").select(*docs.columns)
+    copies = mix(docs, id_col=id_col, **how).groupBy(F.col(id_col).alias("_id")).agg(F.sum("copies").alias("_n"), F.count(F.lit(1)).alias("_rows")).where("_n > 0")
+    copies = C.written(copies, "copies")
+    joined = docs.join(copies, F.col(id_col).eqNullSafe(F.col("_id")))
+    many = joined.withColumn("_c", F.explode(F.expr("sequence(1, cast(_n as int))")))
+    out = many.where("_rows = 1").select(*docs.columns)
+    if copies.where("_rows > 1").limit(1).count():
+        # repeated rows of one id share its copies, dealt by a number within the id
+        order = Window.partitionBy("_id").orderBy(*[F.col(c) for c in docs.columns if c != id_col])
+        numbered = joined.where("_rows > 1").withColumn("_i", F.row_number().over(order)).withColumn("_c", F.explode(F.expr("sequence(1, cast(_n as int))")))
+        out = out.unionByName(numbered.where("(_c - 1) % _rows + 1 = _i").select(*docs.columns))
+    return out
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -293,7 +293,7 @@ def cut_repeats(docs: DataFrame, n: int = N_BYTES, context: int = CONTEXT, id_co
     parts = C.shuffle_parts(spark)
     keys = C.even_keys(spark, parts)  # one bucket for each partition, of hashes as of documents
     rest = [c for c in docs.columns if c != text_col]
-    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), F.col(text_col).alias("text"), F.struct(*rest).alias("row"))
+    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), F.col(text_col).alias("text"), F.struct(*rest).cast(T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema.fields if f.name != text_col])).alias("row"))
 
     def to_anchors(batches):
         for batch in batches:

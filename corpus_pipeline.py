@@ -2,31 +2,76 @@
 passages, mix sources to target weights, and pack the tokens.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and
-read again as the next stage's documents.
+read again as the next stage's documents.  All but the last return the columns of documents.
+
+Edges: null ids, null and empty texts, repeated rows and empty tables pass through every stage as
+its operator defines it; rows with a null id cannot stand for a group of near duplicates and all
+stay; a text that is cut to nothing stays as an empty document; further columns are kept.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from claimloom.llm import _common as C
-from claimloom.llm import mixing, packing
+from claimloom.llm import mixing, neardup, packing, suffixdedup, toxicity
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model, fitted on the labelled ones, does not reject."""
+    model = toxicity.fit(docs, toxicity.toxic_labels(C.read_table(spark, sf_dir, "labels")))
+    return toxicity.clean_documents(docs, model)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group that shares 80 % of its 5-word shingles."""
+    found = neardup.near_duplicates(docs, k=5, percent=80)
+    ids = C.written(found.where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")), "kept")
+    out = docs.join(ids.select("doc_id"), "doc_id", "left_semi")
+    if ids.where("rows > 1").limit(1).count():
+        out = out.dropDuplicates(["doc_id"])
+    return out.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+
+
+def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the bytes of 100-byte strings that start earlier; characters that the cut
+    leaves incomplete go as well."""
+    columns, types = docs.columns, docs.schema
+
+    def run(batches):
+        for batch in batches:
+            null = batch.column("no_text").to_numpy(zero_copy_only=False)
+            texts = [None if n else x.as_py().decode("utf-8", "ignore") for n, x in zip(null, batch.column("kept"))]
+            row = batch.column("row")
+            new = {"text": pa.array(texts, pa.string()), "n_chars": pa.array([None if t is None else len(t) for t in texts], pa.int64())}
+            yield C.record([(c, new[c] if c in new else row.field(c)) for c in columns])
+
+    marked = docs.withColumn("_no_text", F.col("text").isNull())
+    cut = suffixdedup.cut_repeats(marked).withColumn("no_text", F.col("row._no_text"))
+    return cut.select("row", "kept", "no_text").mapInArrow(run, types)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of sources takes it."""
     return mixing.mixed_documents(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces and their places in sequences of at most 1024 tokens."""
     return packing.pack(docs)
 
 
 STAGES = [
+    ("toxicity", reject_toxic),
+    ("near_dedup", near_dedup),
+    ("suffix_dedup", cut_passages),
     ("mix_sources", mix_sources),
     ("pack_sequences", pack_sequences),
 ]
 
-#: Classifiers, sketches and tokens are not SQL; the stages are tested against brute force.
+#: A fitted model, sketches and tokens are not SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
