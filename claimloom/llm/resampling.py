@@ -41,7 +41,7 @@ def gram_buckets(data: np.ndarray, offs: np.ndarray, buckets: int):
 
 def models(docs: DataFrame, target: DataFrame, buckets: int = BUCKETS, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
     """n-gram counts of target and of all documents.  ``target``: distinct ids in ``id_col``."""
-    flagged = docs.select(id_col, text_col).join(target.select(F.col(id_col), F.lit(1).alias("_target")), id_col, "left").select("_target", text_col)
+    flagged = docs.select(id_col, text_col).join(target.select(F.col(id_col), F.lit(1).alias("_target")).hint("shuffle_hash"), id_col, "left").select("_target", text_col)
 
     def run(batches):
         raw, own = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
