@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -31,25 +32,52 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_OWN_DIR}"
 
 
-def written(df: DataFrame, name: str, cluster_by: str | None = None) -> DataFrame:
+_TABLES: list[str] = []
+
+
+def written(df: DataFrame, name: str, free: bool = False, keep: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again: lineage ends here, and
-    the rows survive the loss of any executor."""
+    the rows survive the loss of any executor.  ``free`` lets Spark delete the shuffle files that
+    only this table needed; ``keep`` exempts the table from ``sweep``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    schema = df.schema
+    if free:
+        # shuffle files go when the driver's garbage collector meets their owners
+        del df
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+    out = spark.read.schema(schema).parquet(path)
     out._claimloom_path = path
+    if not keep:
+        _TABLES.append(path)
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def dropped(df: DataFrame) -> None:
     """Delete a table made by ``written`` that nothing reads any more."""
     path = getattr(df, "_claimloom_path", None)
     if path:
-        spark = df.sparkSession
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        _delete(df.sparkSession, path)
+        if path in _TABLES:
+            _TABLES.remove(path)
+
+
+def tables_now() -> int:
+    return len(_TABLES)
+
+
+def sweep(spark: SparkSession, since: int) -> None:
+    """Delete the tables made since ``tables_now()`` gave ``since``, once the lazy results that
+    read them are written elsewhere."""
+    while len(_TABLES) > since:
+        _delete(spark, _TABLES.pop())
 
 
 def shuffle_parts(spark: SparkSession, at_least: int = 1) -> int:
@@ -145,7 +173,7 @@ def min_components(edges: DataFrame, name: str, most_rounds: int = 200) -> DataF
     for _ in range(most_rounds):
         if not state[0]:
             break
-        new = written(stars(stars(now, True), False), name)
+        new = written(stars(stars(now, True), False), name, free=True)
         dropped(now)
         now, before, state = new, state, measure(new)
         if state == before:

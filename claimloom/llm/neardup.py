@@ -163,7 +163,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     level = percent / 100
     cut = max(0.0, level - 5.5 * math.sqrt(level * (1 - level) / t))
     spark = docs.sparkSession
-    prints = C.written(fingerprints(docs, k, bands, rows, id_col, text_col), "prints")
+    prints = C.written(fingerprints(docs, k, bands, rows, id_col, text_col), "prints", free=True)
     classes = prints.where("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles").agg(F.min(id_col).alias("rep"))
     reps = prints.join(classes.select(F.col("rep").alias(id_col)), id_col, "left_semi").where("n_shingles > 0")
     in_bands = reps.select(F.col(id_col).alias("id"), "n_shingles", F.explode("bands").alias("band"))

@@ -340,7 +340,8 @@ def cut_repeats(docs: DataFrame, n: int = N_BYTES, context: int = CONTEXT, id_co
     def by_bucket(df: DataFrame) -> DataFrame:
         return df.repartition(parts, "bucket").sortWithinPartitions("bucket", "kind")
 
-    found = by_bucket(base.select("id", "text").mapInArrow(to_anchors, MOVED)).mapInArrow(collapse, MOVED)
+    # written before the texts are dealt out, so that the shuffle of anchors can go first
+    found = C.written(by_bucket(base.select("id", "text").mapInArrow(to_anchors, MOVED)).mapInArrow(collapse, MOVED), "found", free=True)
 
     row_type = base.schema["row"].dataType
     empty = lambda kind: F.lit(None).cast(kind)
@@ -469,7 +470,8 @@ def cut_repeats(docs: DataFrame, n: int = N_BYTES, context: int = CONTEXT, id_co
                 some = out[lo : lo + 2000]
                 yield pad([("kind", pa.array(np.full(len(some), 2, np.int32))), ("bucket", pa.array([x for x, _ in some], pa.int64())), ("blob", pa.array([x for _, x in some], pa.binary()))], len(some))
 
-    stage = C.written(meet(base.withColumn("blob", empty("binary")), found).mapInArrow(open_texts, opened), "opened")
+    stage = C.written(meet(base.withColumn("blob", empty("binary")), found).mapInArrow(open_texts, opened), "opened", free=True)
+    C.dropped(found)
 
     def send_ranges(held: list):
         if held:
@@ -500,7 +502,7 @@ def cut_repeats(docs: DataFrame, n: int = N_BYTES, context: int = CONTEXT, id_co
                     yield _moved([(-1, 5, rows.tobytes())])
             yield from send_ranges(held)
 
-    sorted_out = C.written(by_bucket(stage.where("kind = 2").select("bucket", "kind", "blob")).mapInArrow(sort_segments, MOVED), "sorted")
+    sorted_out = C.written(by_bucket(stage.where("kind = 2").select("bucket", "kind", "blob")).mapInArrow(sort_segments, MOVED), "sorted", free=True)
     sent = sorted_out.where("kind = 0")
     if sorted_out.where("kind = 5").limit(1).count():
 

@@ -78,5 +78,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.read_table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = C.written(stage(spark, docs, sf_dir), f"stage-{name}")
+        mark = C.tables_now()
+        before, docs = docs, C.written(stage(spark, docs, sf_dir), f"stage-{name}", free=True, keep=True)
+        C.dropped(before)
+        C.sweep(spark, mark)
     return docs
