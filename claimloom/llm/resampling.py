@@ -26,7 +26,7 @@ from claimloom.llm import textkernel as K
 
 BUCKETS = 10_000
 SEED = 17
-SLICE = 8 << 20
+SLICE = 2 << 20
 
 
 def gram_buckets(data: np.ndarray, offs: np.ndarray, buckets: int):

@@ -29,7 +29,7 @@ from claimloom.llm import textkernel as K
 TOP_K = 10
 K1, B = 1.5, 0.75
 BLOCK = 64
-SLICE = 16 << 20
+SLICE = 4 << 20
 
 
 def term_hashes(data: np.ndarray, offs: np.ndarray):

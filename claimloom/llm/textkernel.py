@@ -37,7 +37,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, for places 0 to n."""
     have = _POWERS.get("up")
     if have is None or len(have) <= n:
-        size = max(n + 1, 1 << 20)
+        size = max(n + 1, 1 << 21)
         inverse = pow(_BASE, -1, 1 << 64)
         for name, x in (("up", _BASE), ("down", inverse)):
             out = np.ones(size, np.uint64)
