@@ -45,7 +45,7 @@ def with_policy(hits: DataFrame, min_tier: int = 7, lemma: Column | None = None,
 def restrict_or_all(hits: DataFrame, by: list[str], wanted: Column) -> DataFrame:
     """Rows that meet a restriction; a group without any keeps all its rows."""
     some = F.max(wanted.cast("int")).over(Window.partitionBy(*by))
-    return hits.where(wanted | (F.coalesce(some, F.lit(0)) == 0))
+    return hits.withColumn("_some", F.coalesce(some, F.lit(0))).where(wanted | (F.col("_some") == 0)).drop("_some")
 
 
 def minmax(score: Column, by: list[str]) -> Column:
@@ -79,14 +79,14 @@ def should_fire(mode: Column, margin_: Column, threshold: float, diverges_: Colu
 def bm25_over_candidates(candidates: DataFrame, query: str, doc: str, query_text: Column, text: Column, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """BM25 with the statistics of each query's own candidates; rows (query, doc, bm25).  Terms
     are exploded only where they meet the query's, so rows follow matches."""
-    tokens = candidates.select(F.col(query), F.col(doc), search_tokens(query_text).alias("q"), search_tokens(text).alias("t")).withColumn("size", F.size("t").cast("double"))
+    tokens = candidates.select(F.col(query), F.col(doc), search_tokens(query_text).alias("_q"), search_tokens(text).alias("_t")).withColumn("_size", F.size("_t").cast("double"))
     per_query = Window.partitionBy(query)
-    sized = tokens.withColumn("n", F.count(F.lit(1)).over(per_query)).withColumn("mean", F.avg("size").over(per_query))
-    wanted = sized.withColumn("term", F.explode(F.array_distinct("q")))
-    counted = wanted.withColumn("tf", F.size(F.filter("t", lambda x: x == F.col("term")))).withColumn("qtf", F.size(F.filter("q", lambda x: x == F.col("term"))))
-    held = counted.where("tf > 0").withColumn("df", F.count(F.lit(1)).over(Window.partitionBy(query, "term")))
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    part = F.col("qtf") * idf * (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.col("mean")))
+    sized = tokens.withColumn("_n", F.count(F.lit(1)).over(per_query)).withColumn("_mean", F.avg("_size").over(per_query))
+    wanted = sized.withColumn("_term", F.explode(F.array_distinct("_q")))
+    counted = wanted.withColumn("_tf", F.size(F.filter("_t", lambda x: x == F.col("_term")))).withColumn("_qtf", F.size(F.filter("_q", lambda x: x == F.col("_term"))))
+    held = counted.where("_tf > 0").withColumn("_df", F.count(F.lit(1)).over(Window.partitionBy(query, "_term")))
+    idf = F.log((F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5) + 1)
+    part = F.col("_qtf") * idf * (F.col("_tf") * (k1 + 1)) / (F.col("_tf") + k1 * (1 - b + b * F.col("_size") / F.col("_mean")))
     scores = held.groupBy(query, doc).agg(F.sum(part).alias("bm25"))
     return candidates.select(query, doc).join(scores, [query, doc], "left").select(query, doc, F.coalesce("bm25", F.lit(0.0)).alias("bm25"))
 
