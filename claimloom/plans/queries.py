@@ -82,7 +82,8 @@ s AS (SELECT c.item_id, c.doc_id, round(coalesce(bm25, 0), 6) AS bm25 FROM c LEF
 
 
 def _lexical(spark, sf_dir):
-    """Each benchmark item against its candidate documents, an equi join on a shared bucket."""
+    """Each benchmark item against its candidates: every document is dealt to the items of one bucket
+    by an equi join, so all items and all documents take part."""
     b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("q_text"), (F.col("item_id") % 40).alias("bucket"))
     d = table(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % 40).alias("bucket"))
     scores = retrieval.bm25_over_candidates(b.join(d, "bucket"), "item_id", "doc_id", F.col("q_text"), F.col("text"))
@@ -138,16 +139,16 @@ def _parts(c):
     return F.array_distinct(F.split(F.lower(F.col(c)), " "))
 
 
-@query("""WITH q AS (SELECT p_partkey AS query_id, lower(split_part(p_name, ' ', 1)) AS head, [lower(p_brand)] AS isa, list_distinct(string_split(lower(p_type), ' ')) AS parts, p_size FROM part WHERE p_partkey % 50 = 0),
+@query("""WITH q AS (SELECT p_partkey AS query_id, lower(split_part(p_name, ' ', 1)) AS head, [lower(p_brand)] AS isa, list_distinct(string_split(lower(p_type), ' ')) AS parts, p_size FROM part WHERE p_partkey % 20 = 0),
 c AS (SELECT p_partkey, lower(p_name) AS lemma, [lower(p_brand)] AS isa, list_distinct(string_split(lower(p_type), ' ')) AS parts, p_size FROM part),
 j AS (SELECT q.query_id, c.p_partkey, CASE WHEN contains(c.lemma, q.head) OR contains(q.head, c.lemma) OR list_contains(c.isa, q.head) THEN 0.5::DOUBLE ELSE 0 END AS a,
  len(list_filter(q.isa, lambda x: list_contains(c.isa, x))) / CAST(len(q.isa) AS DOUBLE) * 0.3::DOUBLE AS b, len(list_filter(q.parts, lambda x: list_contains(c.parts, x))) / CAST(len(q.parts) AS DOUBLE) * 0.2::DOUBLE AS d FROM q JOIN c ON q.p_size = c.p_size)
 SELECT query_id, p_partkey, round(least((a + b + d) / 1.0::DOUBLE, 1), 4) AS struct_score FROM j""")
 def slot_overlap(spark, sf_dir):
-    """Structural overlap of part descriptions of one size."""
+    """Structural overlap: every twentieth part as a query against all parts of its size."""
     part = table(spark, sf_dir, "part")
     c = part.select("p_partkey", "p_size", F.lower("p_name").alias("lemma"), F.array(F.lower("p_brand")).alias("isa"), _parts("p_type").alias("parts"))
-    q = c.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("query_id"), "p_size", F.split("lemma", " ")[0].alias("head"), F.col("isa").alias("q_isa"), F.col("parts").alias("q_parts"))
+    q = c.where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("query_id"), "p_size", F.split("lemma", " ")[0].alias("head"), F.col("isa").alias("q_isa"), F.col("parts").alias("q_parts"))
     score = retrieval.slot_overlap(F.col("head"), F.col("q_isa"), F.col("q_parts"), F.array().cast("array<string>"), F.col("lemma"), F.col("isa"), F.col("parts"))
     return q.join(c, "p_size").select("query_id", "p_partkey", score.alias("struct_score"))
 
