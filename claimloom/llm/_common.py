@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -142,8 +144,20 @@ def mix64(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def mix64_one(x: int) -> int:
-    return int(mix64(np.array([x & 0xFFFFFFFFFFFFFFFF], dtype=np.uint64))[0])
+def lean(function):
+    """The same Arrow function, after which the worker hands free memory back to the system: workers
+    are reused, and what one task's scratch arrays held must not add to the next one's."""
+
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return run
 
 
 def min_components(edges: DataFrame, name: str, most_rounds: int = 200) -> DataFrame:
@@ -226,7 +240,7 @@ def group_ranks(df: DataFrame, key: str, order: list[str], name: str) -> tuple[D
             last = keys[-1]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(n, pid, np.int64)), pa.array(at)], names=[*fields, "_pid", "_at"])
 
-    rows = written(laid.mapInArrow(number, schema), name)
+    rows = written(laid.mapInArrow(lean(number), schema), name)
     from pyspark.sql import Window
 
     counts = rows.groupBy(F.col(key).alias("_k"), F.col("_pid").alias("_p")).agg(F.max("_at").alias("_n"))

@@ -100,7 +100,7 @@ def valid_vectors(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
             norm = np.sqrt(np.add.reduceat(flat * flat, offs[:-1])) if len(flat) else np.zeros(0)
             yield C.record([("id", batch.column(0)), ("vec", C.binary_rows(flat, offs)), ("dim", pa.array(size.astype(np.int32))), ("norm", pa.array(norm))])
 
-    return rows.mapInArrow(run, "id long, vec binary, dim int, norm double")
+    return rows.mapInArrow(C.lean(run), "id long, vec binary, dim int, norm double")
 
 
 def fine_of(name: str):
@@ -161,7 +161,7 @@ def nearest(rows: DataFrame, k: int = TOP_K, every: int = 20, tables: int = TABL
                     b = bucket_ids(np.floor(cells(y, t, width, size)), t, dim)
                     yield C.record([("bucket", pa.array(b)), ("rep", batch.column("rep").take(which)), ("vec", vec), ("dim", pa.array(np.full(len(b), dim, np.int32)))])
 
-    index = C.written(reps.mapInArrow(to_index, "bucket long, rep long, vec binary, dim int"), "index")
+    index = C.written(reps.mapInArrow(C.lean(to_index), "bucket long, rep long, vec binary, dim int"), "index")
     sizes = index.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     fair = max(1, math.ceil(total * tables / slots))
     # at most ``slots`` buckets can hold more than a fair share
@@ -217,7 +217,7 @@ def nearest(rows: DataFrame, k: int = TOP_K, every: int = 20, tables: int = TABL
                 yield C.record([("slot", pa.array(s, pa.int64())), ("kind", pa.array(np.zeros(len(s), np.int32))), ("bucket", pa.array(np.zeros(len(s), np.int64))), ("id", pa.array(r, pa.int64())), ("vec", pa.array(v, pa.binary())), ("dim", pa.array(d, pa.int32())), ("buckets", pa.array(b, pa.binary()))])
 
     asked = reps.join(queries.select("rep").distinct(), "rep", "left_semi")
-    both = index.mapInArrow(place_index, meet).unionByName(asked.mapInArrow(place_queries, meet))
+    both = index.mapInArrow(C.lean(place_index), meet).unionByName(asked.mapInArrow(C.lean(place_queries), meet))
     laid = both.repartition(parts, "slot").sortWithinPartitions("slot", "kind", "bucket")
 
     def score(batches):
@@ -242,7 +242,7 @@ def nearest(rows: DataFrame, k: int = TOP_K, every: int = 20, tables: int = TABL
         if state:
             yield from state.out()
 
-    near = laid.mapInArrow(score, "q long, c long, score double").dropDuplicates(["q", "c"])
+    near = laid.mapInArrow(C.lean(score), "q long, c long, score double").dropDuplicates(["q", "c"])
     first = Window.partitionBy("q").orderBy(F.desc("score"), "c")
     near = near.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1).select("q", "c", "score")
     ids = members.select("id", "vec").join(reps.select("rep", "vec"), "vec").select(F.col("rep").alias("c"), F.col("id").alias("vec_id"))

@@ -145,7 +145,7 @@ def predict(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "tex
             yield C.record([(id_col, batch.column(0)), ("lang_pred", pa.array(labels[best].tolist(), pa.string())), ("score", pa.array(score))])
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double")
+    return docs.select(id_col, text_col).mapInArrow(C.lean(run), f"`{id_col}` {kind}, lang_pred string, score double")
 
 
 def fit_on(train: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"):

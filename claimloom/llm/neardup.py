@@ -97,7 +97,7 @@ def fingerprints(docs: DataFrame, k: int, bands: int, rows: int, id_col: str, te
                 yield C.record([(id_col, batch.column(0).slice(lo, n)), ("n_shingles", pa.array(sizes)), ("set_a", pa.array(digest[0])), ("set_b", pa.array(digest[1])), ("bands", lists)])
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_shingles long, set_a long, set_b long, bands array<long>")
+    return docs.select(id_col, text_col).mapInArrow(C.lean(run), f"`{id_col}` {kind}, n_shingles long, set_a long, set_b long, bands array<long>")
 
 
 def _member_sets(members: DataFrame, k: int, t: int) -> DataFrame:
@@ -114,7 +114,7 @@ def _member_sets(members: DataFrame, k: int, t: int) -> DataFrame:
                     + [("shingles", C.binary_rows(values, first)), ("sketch", C.binary_rows(sk.reshape(-1), np.arange(hi - lo + 1) * t))]
                 )
 
-    return members.select("component", "blocks", "id", "text").mapInArrow(run, "component long, blocks long, id long, shingles binary, sketch binary")
+    return members.select("component", "blocks", "id", "text").mapInArrow(C.lean(run), "component long, blocks long, id long, shingles binary, sketch binary")
 
 
 def forest(ids: np.ndarray, side: np.ndarray, sets: list[np.ndarray], sketch: np.ndarray, percent: int, cut: float):
@@ -196,7 +196,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
                 a, b = zip(*found)
                 yield C.record([("a", pa.array(a, pa.int64())), ("b", pa.array(b, pa.int64()))])
 
-    links = C.min_components(laid.mapInArrow(link, "a long, b long"), "links")
+    links = C.min_components(laid.mapInArrow(C.lean(link), "a long, b long"), "links")
     # only sets with copies need the join; these are salted, for one set may hold a third of all rows
     key = ["set_a", "set_b", "n_shingles"]
     copied = prints.where("n_shingles > 0").groupBy(*key).agg(F.min(id_col).alias("rep"), F.count(F.lit(1)).alias("copies")).where("copies > 1")

@@ -43,8 +43,8 @@ class WordTokens:
     distinct pre-token is encoded by the tokenizer's model once and kept in a direct-mapped table.
     """
 
-    SLOTS = 1 << 20
-    POOL = 1 << 23
+    SLOTS = 1 << 19
+    POOL = 1 << 21
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -130,7 +130,7 @@ class WordTokens:
         h = C.mix64(((sums[end] - sums[start]) * down[start]) ^ (end - start).astype(np.uint64)) | np.uint64(1)
         if self.used > self.POOL:
             self._reset()
-        slot = (h >> np.uint64(44)).astype(np.int64)
+        slot = (h >> np.uint64(45)).astype(np.int64)
         at, ln = self.at[slot], self.len[slot]
         miss = np.flatnonzero(self.keys[slot] != h)
         if len(miss):
@@ -146,7 +146,7 @@ class WordTokens:
                 self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(need, 2 * len(self.pool)) - self.used, np.uint32)])
             self.pool[self.used : need] = flat
             self.used = need
-            us = (u >> np.uint64(44)).astype(np.int64)
+            us = (u >> np.uint64(45)).astype(np.int64)
             self.keys[us], self.at[us], self.len[us] = u, places, sizes
             at[miss], ln[miss] = places[back], sizes[back]
         tops = np.zeros(len(ln) + 1, np.int64)
@@ -216,7 +216,7 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, limit: int = LIM
                 )
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(id_col, text_col).mapInArrow(cut, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long, pid long, at long")
+    return docs.select(id_col, text_col).mapInArrow(C.lean(cut), f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long, pid long, at long")
 
 
 # ---------------------------------------------------------------- plan
@@ -326,7 +326,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, limit: int = LIMIT, end_
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(table[line, 4])], names=[*batch.schema.names[:5], "sequence_id", "offset"])
 
     kind = dict(docs.dtypes)[id_col]
-    return ranked.mapInArrow(place, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(C.lean(place), f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def op10_pack_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -117,7 +117,7 @@ def parsed(messages: DataFrame, conv_col: str, turn_col: str, role_col: str, tex
             )
 
     base = messages.select(F.col(conv_col).cast("long").alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
-    return base.mapInArrow(run, "conv long, turn long, role string, text string, clean string, n_quoted int, quote_depth int, own array<long>, units array<long>, levels array<int>, weights array<int>")
+    return base.mapInArrow(C.lean(run), "conv long, turn long, role string, text string, clean string, n_quoted int, quote_depth int, own array<long>, units array<long>, levels array<int>, weights array<int>")
 
 
 def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:

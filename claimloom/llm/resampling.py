@@ -55,7 +55,7 @@ def models(docs: DataFrame, target: DataFrame, buckets: int = BUCKETS, id_col: s
         some = np.flatnonzero(raw)
         yield C.record([("bucket", pa.array(some)), ("raw", pa.array(raw[some])), ("own", pa.array(own[some]))])
 
-    counts = flagged.mapInArrow(run, "bucket long, raw long, own long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("own").alias("own")).collect()  # at most ``buckets`` rows
+    counts = flagged.mapInArrow(C.lean(run), "bucket long, raw long, own long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("own").alias("own")).collect()  # at most ``buckets`` rows
     raw, own = np.zeros(buckets), np.zeros(buckets)
     for r in counts:
         raw[r["bucket"]], own[r["bucket"]] = r["raw"], r["own"]
@@ -87,7 +87,7 @@ def resample(docs: DataFrame, target: DataFrame, share: float, buckets: int = BU
             yield C.record([(id_col, batch.column(0)), ("log_weight", pa.array(weight)), ("sample_key", pa.array(key)), ("_down", pa.array(-key)), ("_all", pa.array(np.zeros(len(ids), np.int64)))])
 
     kind = dict(docs.dtypes)[id_col]
-    keyed = docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, log_weight double, sample_key double, _down double, _all long")
+    keyed = docs.select(id_col, text_col).mapInArrow(C.lean(run), f"`{id_col}` {kind}, log_weight double, sample_key double, _down double, _all long")
     keyed = C.written(keyed, "keys")
     ranked, rows = C.group_ranks(keyed, "_all", ["_down", id_col], "ranks")
     k = int(round(share * rows.count()))

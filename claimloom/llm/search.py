@@ -62,7 +62,7 @@ def statistics(docs: DataFrame, vocabulary: np.ndarray, text_col: str):
         yield C.record([("term", pa.array(np.concatenate([[-2, -1], some]))), ("n", pa.array(np.concatenate([[n, total], df[some]])))])
 
     n, total, df = 0, 0, np.zeros(len(vocabulary), np.int64)
-    for r in docs.select(text_col).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():  # a row for each query term
+    for r in docs.select(text_col).mapInArrow(C.lean(run), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():  # a row for each query term
         if r["term"] == -2:
             n = r["n"]
         elif r["term"] == -1:
@@ -161,7 +161,7 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = TOP_K, k1: float = K1, b
                 yield C.record([("query_id", names.take(pa.array(q))), ("doc_id", batch.column(0).slice(lo, hi - lo).take(pa.array(order[d]))), ("score", pa.array(s))])
 
     kind = dict(docs.dtypes)[id_col]
-    shards = docs.mapInArrow(run, f"query_id long, doc_id {kind}, score double")
+    shards = docs.mapInArrow(C.lean(run), f"query_id long, doc_id {kind}, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return shards.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 

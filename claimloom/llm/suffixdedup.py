@@ -341,7 +341,7 @@ def cut_repeats(docs: DataFrame, n: int = N_BYTES, context: int = CONTEXT, id_co
         return df.repartition(parts, "bucket").sortWithinPartitions("bucket", "kind")
 
     # written before the texts are dealt out, so that the shuffle of anchors can go first
-    found = C.written(by_bucket(base.select("id", "text").mapInArrow(to_anchors, MOVED)).mapInArrow(collapse, MOVED), "found", free=True)
+    found = C.written(by_bucket(base.select("id", "text").mapInArrow(C.lean(to_anchors), MOVED)).mapInArrow(C.lean(collapse), MOVED), "found", free=True)
 
     row_type = base.schema["row"].dataType
     empty = lambda kind: F.lit(None).cast(kind)
@@ -470,7 +470,7 @@ def cut_repeats(docs: DataFrame, n: int = N_BYTES, context: int = CONTEXT, id_co
                 some = out[lo : lo + 2000]
                 yield pad([("kind", pa.array(np.full(len(some), 2, np.int32))), ("bucket", pa.array([x for x, _ in some], pa.int64())), ("blob", pa.array([x for _, x in some], pa.binary()))], len(some))
 
-    stage = C.written(meet(base.withColumn("blob", empty("binary")), found).mapInArrow(open_texts, opened), "opened", free=True)
+    stage = C.written(meet(base.withColumn("blob", empty("binary")), found).mapInArrow(C.lean(open_texts), opened), "opened", free=True)
     C.dropped(found)
 
     def send_ranges(held: list):
@@ -502,7 +502,7 @@ def cut_repeats(docs: DataFrame, n: int = N_BYTES, context: int = CONTEXT, id_co
                     yield _moved([(-1, 5, rows.tobytes())])
             yield from send_ranges(held)
 
-    sorted_out = C.written(by_bucket(stage.where("kind = 2").select("bucket", "kind", "blob")).mapInArrow(sort_segments, MOVED), "sorted", free=True)
+    sorted_out = C.written(by_bucket(stage.where("kind = 2").select("bucket", "kind", "blob")).mapInArrow(C.lean(sort_segments), MOVED), "sorted", free=True)
     sent = sorted_out.where("kind = 0")
     if sorted_out.where("kind = 5").limit(1).count():
 
@@ -512,7 +512,7 @@ def cut_repeats(docs: DataFrame, n: int = N_BYTES, context: int = CONTEXT, id_co
                     rows = np.frombuffer(x.as_buffer(), LEFT)
                     yield C.record([(f, pa.array(np.ascontiguousarray(rows[f]))) for f in LEFT.names])
 
-        windows = sorted_out.where("kind = 5").select("blob").mapInArrow(unpack, "a long, b long, doc long, start long")
+        windows = sorted_out.where("kind = 5").select("blob").mapInArrow(C.lean(unpack), "a long, b long, doc long, start long")
         least = windows.groupBy("a", "b").agg(F.min(F.struct("doc", "start")).alias("least"), F.count(F.lit(1)).alias("k")).where("k > 1")
         late = windows.join(least, ["a", "b"]).where(F.struct("doc", "start") > F.col("least")).select("doc", "start")
 
@@ -522,7 +522,7 @@ def cut_repeats(docs: DataFrame, n: int = N_BYTES, context: int = CONTEXT, id_co
                 gone["doc"], gone["lo"], gone["n"] = C.long_col(batch, "doc"), C.long_col(batch, "start"), 1
                 yield from _send((b, 0, x) for b, x in _blobs(gone, _doc_bucket(gone["doc"], parts), keys))
 
-        sent = sent.unionByName(late.mapInArrow(repack, MOVED))
+        sent = sent.unionByName(late.mapInArrow(C.lean(repack), MOVED))
 
     def close_texts(batches):
         for batch, gone, _ in walk(batches):
@@ -532,7 +532,7 @@ def cut_repeats(docs: DataFrame, n: int = N_BYTES, context: int = CONTEXT, id_co
                 which = np.arange(lo, min(lo + 2000, batch.num_rows))
                 yield C.record(finish(batch, lists, texts, which))
 
-    late_texts = meet(stage.where("kind = 1").select("blob", "id", "text", "row"), sent).mapInArrow(close_texts, result)
+    late_texts = meet(stage.where("kind = 1").select("blob", "id", "text", "row"), sent).mapInArrow(C.lean(close_texts), result)
     return stage.where("kind = 0").select(*result.names).unionByName(late_texts)
 
 

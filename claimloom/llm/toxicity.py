@@ -149,7 +149,7 @@ def fit(docs: DataFrame, grades: DataFrame, sample: int = SAMPLE, id_col: str =
                 values, first = word_sets(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
                 yield C.record([("grade", batch.column(0).slice(lo, hi - lo).cast(pa.int32())), ("words", C.binary_rows(values, first))])
 
-    rows = joined.mapInArrow(run, "grade int, words binary").collect()
+    rows = joined.mapInArrow(C.lean(run), "grade int, words binary").collect()
     sets = [np.frombuffer(r["words"], np.uint64) for r in rows]
     order = sorted(range(len(sets)), key=lambda i: (sets[i].tobytes(), rows[i]["grade"]))  # alike on every run
     sets, grade = [sets[i] for i in order], np.array([rows[i]["grade"] for i in order], int)
@@ -197,7 +197,7 @@ def grade_documents(docs: DataFrame, model, id_col: str = "doc_id", text_col: st
             yield C.record([(id_col, batch.column(0)), ("severity", pa.array(p.sum(1))), ("p_toxic", pa.array(p[:, 0])), ("grade", pa.array((p >= 0.5).sum(1).astype(np.int32))), ("toxic", pa.array(p[:, 0] > 0.5)), ("kept", pa.array(p[:, 0] <= 0.5))])
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, severity double, p_toxic double, grade int, toxic boolean, kept boolean")
+    return docs.select(id_col, text_col).mapInArrow(C.lean(run), f"`{id_col}` {kind}, severity double, p_toxic double, grade int, toxic boolean, kept boolean")
 
 
 def toxic_labels(labels: DataFrame) -> DataFrame:
@@ -214,7 +214,7 @@ def clean_documents(docs: DataFrame, model, id_col: str = "doc_id", text_col: st
         for batch in batches:
             yield batch.filter(pa.array(score(*C.col_bytes(batch.column(at_text))) <= theta[0]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(C.lean(run), docs.schema)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

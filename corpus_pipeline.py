@@ -41,7 +41,7 @@ def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     columns, types = docs.columns, docs.schema
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(lo, 1000) for b in batches for lo in range(0, b.num_rows, 1000)):
             null = batch.column("no_text").to_numpy(zero_copy_only=False)
             texts = [None if n else x.as_py().decode("utf-8", "ignore") for n, x in zip(null, batch.column("kept"))]
             row = batch.column("row")
@@ -50,7 +50,7 @@ def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     marked = docs.withColumn("_no_text", F.col("text").isNull())
     cut = suffixdedup.cut_repeats(marked).withColumn("no_text", F.col("row._no_text"))
-    return cut.select("row", "kept", "no_text").mapInArrow(run, types)
+    return cut.select("row", "kept", "no_text").mapInArrow(C.lean(run), types)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
