@@ -20,6 +20,8 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_suffix_dedup": suffixdedup.OP2_SQL,
+    "op6_near_duplicates": neardup.OP6_SQL,
     "op7_bm25_block_max": search.OP7_SQL,
     "op9_mix_sources": mixing.OP9_SQL,
 }

@@ -542,3 +542,18 @@ LEFT = np.dtype([("a", "<i8"), ("b", "<i8"), ("doc", "<i8"), ("start", "<i8")])
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = cut_repeats(C.read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select(F.col("row.doc_id").alias("doc_id"), "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP2_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 200) AS s FROM (SELECT doc_id, h, unnest(generate_series(0, len(h) // 2 - 100)) AS i FROM d WHERE len(h) >= 200)),
+r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS k FROM w),
+g AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER o + 100 THEN 0 ELSE 1 END AS fresh FROM r WHERE k > 1 WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+n AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g),
+c AS (SELECT doc_id, run, min(i) AS lo, max(i) + 100 AS hi FROM n GROUP BY ALL),
+e AS (SELECT doc_id, lo, hi, lag(hi, 1, 0) OVER (PARTITION BY doc_id ORDER BY lo) AS before, row_number() OVER (PARTITION BY doc_id ORDER BY lo DESC) AS last FROM c),
+k AS (SELECT e.doc_id, count(*) AS n_spans, sum(hi - lo) AS n_removed, string_agg(substr(h, CAST(2 * before + 1 AS BIGINT), CAST(2 * (lo - before) AS BIGINT)), '' ORDER BY lo) || max(CASE WHEN last = 1 THEN substr(h, CAST(2 * hi + 1 AS BIGINT)) END) AS kept
+      FROM e JOIN d USING (doc_id) GROUP BY e.doc_id)
+SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
