@@ -43,7 +43,7 @@ def written(df: DataFrame, name: str, free: bool = False, keep: bool = False) ->
     only this table needed; ``keep`` exempts the table from ``sweep``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     schema = df.schema
     if free:
         # shuffle files go when the driver's garbage collector meets their owners

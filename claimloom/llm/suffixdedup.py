@@ -39,7 +39,7 @@ from claimloom.llm import _common as C
 from claimloom.llm import textkernel as K
 
 N_BYTES = 100
-CONTEXT = 40
+CONTEXT = 32
 CHUNK = 2 << 20
 SORT_BYTES = 1 << 20
 SALT_SEGMENTS = 20_000
