@@ -33,7 +33,7 @@ from claimloom.llm import _common as C
 from claimloom.llm import textkernel as K
 
 BANDS, ROWS = 25, 5
-SLICE = 2 << 20
+SLICE = 1 << 20
 BLOCK_DOCS = 1500
 SALTS = 16
 BLOCK_SHINGLES = 2_000_000

@@ -40,8 +40,9 @@ from claimloom.llm import textkernel as K
 
 N_BYTES = 100
 CONTEXT = 32
-CHUNK = 2 << 20
-SORT_BYTES = 1 << 20
+CHUNK = 1 << 19
+SEND_ROWS = 1 << 18
+SORT_BYTES = 1 << 19
 SALT_SEGMENTS = 20_000
 
 ANCHOR = np.dtype([("h", "<u8"), ("nh", "<u8"), ("doc", "<i8"), ("lo", "<i4"), ("n", "<u2")])
@@ -295,18 +296,25 @@ def cut_repeats(docs: DataFrame, n: int = N_BYTES, context: int = CONTEXT, id_co
     rest = [c for c in docs.columns if c != text_col]
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), F.col(text_col).alias("text"), F.struct(*rest).cast(T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema.fields if f.name != text_col])).alias("row"))
 
+    def send_anchors(held: list):
+        if held:
+            rows = np.concatenate(held)
+            yield from _send((b, 0, x) for b, x in _blobs(rows, (rows["h"] % np.uint64(parts)).astype(np.int64), keys))
+
     def to_anchors(batches):
         for batch in batches:
             ids = C.long_col(batch, "id")
             data, offs = C.col_bytes(batch.column("text"))
-            held = []
+            held, size = [], 0
             for text, lo, windows, h, nh in anchors(data, offs, n, context):
                 rows = np.empty(len(h), ANCHOR)
                 rows["h"], rows["nh"], rows["doc"], rows["lo"], rows["n"] = h, nh, ids[text], lo, windows
                 held.append(rows)
-            if held:
-                rows = np.concatenate(held)
-                yield from _send((b, 0, x) for b, x in _blobs(rows, (rows["h"] % np.uint64(parts)).astype(np.int64), keys))
+                size += len(rows)
+                if size > SEND_ROWS:
+                    yield from send_anchors(held)
+                    held, size = [], 0
+            yield from send_anchors(held)
 
     def collapse(batches):
         for _, blobs in _buckets(batches):

@@ -27,7 +27,7 @@ from claimloom.llm import textkernel as K
 SAMPLE = 5000
 PREFIXES = range(3, 10)
 RIDGE = 0.01
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 
 def features(data: np.ndarray, offs: np.ndarray):
