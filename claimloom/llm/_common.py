@@ -17,7 +17,14 @@ from pyspark.sql import types as T
 _OWN_DIR: str | None = None
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Arrow batches of fewer rows for this session: whole texts make batches large, and each
+    stage of Python work holds some in the JVM and in its worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

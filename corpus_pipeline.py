@@ -21,12 +21,14 @@ from claimloom.llm import mixing, neardup, packing, suffixdedup, toxicity
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model, fitted on the labelled ones, does not reject."""
+    C.small_batches(spark)
     model = toxicity.fit(docs, toxicity.toxic_labels(C.read_table(spark, sf_dir, "labels")))
     return toxicity.clean_documents(docs, model)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group that shares 80 % of its 5-word shingles."""
+    C.small_batches(spark)
     found = neardup.near_duplicates(docs, k=5, percent=80)
     ids = C.written(found.where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")), "kept")
     out = docs.join(ids.select("doc_id"), "doc_id", "left_semi")
@@ -38,6 +40,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes of 100-byte strings that start earlier; characters that the cut
     leaves incomplete go as well."""
+    C.small_batches(spark)
     columns, types = docs.columns, docs.schema
 
     def run(batches):
@@ -55,11 +58,13 @@ def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix of sources takes it."""
+    C.small_batches(spark)
     return mixing.mixed_documents(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces and their places in sequences of at most 1024 tokens."""
+    C.small_batches(spark)
     return packing.pack(docs)
 
 
