@@ -6,6 +6,8 @@ import base64
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -91,6 +93,63 @@ def bm25_over_candidates(candidates: DataFrame, query: str, doc: str, query_text
     return candidates.select(query, doc).join(scores, [query, doc], "left").select(query, doc, F.coalesce("bm25", F.lit(0.0)).alias("bm25"))
 
 
+def bm25_over_all(queries: DataFrame, docs: DataFrame, query: str, doc: str, query_text: Column, text: Column, schema: str, pick, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """BM25 of every query against every document, with statistics of all documents.
+
+    The driver holds the queries and the counts of their distinct terms.  Each batch of documents is
+    scored against all queries as a product of sparse rows; ``pick(query_ids, doc_ids, scores)``,
+    scores of shape (queries, documents) rounded to 6 places, gives the columns that leave the batch."""
+    asked = queries.select(F.col(query), search_tokens(query_text).alias("_q")).orderBy(query).collect()
+    ids = np.array([r[0] for r in asked], np.int64)
+    vocabulary = sorted({t for r in asked for t in r["_q"]})
+    place = {t: i for i, t in enumerate(vocabulary)}
+    tokens = docs.select(F.col(doc).cast("long").alias("_d"), search_tokens(text).alias("_t"))
+    n, mean = tokens.agg(F.count(F.lit(1)), F.avg(F.size("_t").cast("double"))).first()
+    if not n or not len(ids):
+        return docs.sparkSession.createDataFrame([], schema)
+    mean = mean or 1.0
+    terms = docs.sparkSession.createDataFrame([(t,) for t in vocabulary] or [("",)], "_term string")
+    held = tokens.select(F.explode(F.array_distinct("_t")).alias("_term")).join(F.broadcast(terms), "_term", "left_semi")
+    df = np.zeros(len(vocabulary))
+    for r in held.groupBy("_term").agg(F.count(F.lit(1)).alias("n")).collect():  # one row for each query term
+        df[place[r["_term"]]] = r["n"]
+    weight = np.zeros((len(ids), len(vocabulary)))
+    for i, r in enumerate(asked):
+        for t in r["_q"]:
+            weight[i, place[t]] += 1
+    weight = (weight * np.log((n - df + 0.5) / (df + 0.5) + 1)).T.copy()
+
+    def run(batches):
+        words = pa.array(vocabulary, pa.string())
+        for batch in (x.slice(lo, 256) for x in batches for lo in range(0, x.num_rows, 256)):
+            column = batch.column(1)
+            size = pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+            term = pc.index_in(column.flatten(), words).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(len(size)), size)[term >= 0]
+            key, tf = np.unique(row * max(len(vocabulary), 1) + term[term >= 0], return_counts=True)
+            row, term = key // max(len(vocabulary), 1), key % max(len(vocabulary), 1)
+            dense = np.zeros((len(size), len(vocabulary)))
+            dense[row, term] = tf * (k1 + 1) / (tf + k1 * (1 - b + b * size[row] / mean))
+            yield pa.RecordBatch.from_pydict(pick(ids, batch.column(0).to_numpy(), half_up((dense @ weight).T)))
+
+    return tokens.mapInArrow(run, schema)
+
+
+def half_up(x: np.ndarray) -> np.ndarray:
+    """Rounded to 6 places as Spark and SQL round."""
+    return np.copysign(np.floor(np.abs(x) * 1e6 + 0.5) / 1e6, x)
+
+
+def best_places(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k best finite scores of each row, ties by the smaller id."""
+    least = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] > k else np.full(len(scores), -np.inf)
+    row, col = np.nonzero((scores >= least[:, None]) & np.isfinite(scores))
+    order = np.lexsort((ids[col], -scores[row, col], row))
+    row, col = row[order], col[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[keep], col[keep]
+
+
 def fuse(scored: DataFrame, by: list[str], prior: str, lexical: str, alpha: float = 0.7) -> DataFrame:
     return scored.withColumn("fused", alpha * minmax(F.col(prior), by) + (1 - alpha) * minmax(F.col(lexical), by))
 

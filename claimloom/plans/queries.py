@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -81,19 +82,21 @@ g AS (SELECT item_id, doc_id, sum(qtf * ln((n - df + 0.5) / (df + 0.5) + 1) * (t
 s AS (SELECT c.item_id, c.doc_id, round(coalesce(bm25, 0), 6) AS bm25 FROM c LEFT JOIN g USING (item_id, doc_id))"""
 
 
-def _lexical(spark, sf_dir):
-    """Each benchmark item against its candidates: every document is dealt to the items of one bucket
-    by an equi join, so all items and all documents take part."""
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("q_text"), (F.col("item_id") % 40).alias("bucket"))
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % 40).alias("bucket"))
-    scores = retrieval.bm25_over_candidates(b.join(d, "bucket"), "item_id", "doc_id", F.col("q_text"), F.col("text"))
-    return scores.withColumn("bm25", F.round("bm25", 6))
+def _lexical(spark, sf_dir, schema, pick):
+    """Every benchmark item against every document, statistics over all documents."""
+    b, d = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
+    return retrieval.bm25_over_all(b, d, "item_id", "doc_id", F.col("text"), F.col("text"), schema, pick)
 
 
 @query(f"WITH {_BM25}, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY bm25 DESC, doc_id) AS INTEGER) AS rank FROM s) SELECT * FROM r WHERE rank <= 5")
 def bm25_topk(spark, sf_dir):
-    """BM25 over each query's own candidates."""
-    return retrieval.top_k(_lexical(spark, sf_dir), ["item_id"], "bm25", "doc_id", 5)
+    """BM25 of every benchmark item over all documents."""
+
+    def pick(items, docs, scores):
+        i, j = retrieval.best_places(scores, docs, 5)
+        return {"item_id": items[i], "doc_id": docs[j], "bm25": scores[i, j]}
+
+    return retrieval.top_k(_lexical(spark, sf_dir, "item_id long, doc_id long, bm25 double", pick), ["item_id"], "bm25", "doc_id", 5)
 
 
 @query(f"""WITH {_BM25}, p AS (SELECT *, 1.0 / (1 + doc_id) AS prior FROM s),
@@ -103,8 +106,25 @@ v AS (SELECT item_id, doc_id, round(0.7 * zp + 0.3 * zb, 6) AS fused FROM m),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY fused DESC, doc_id) AS INTEGER) AS rank FROM v) SELECT * FROM r WHERE rank <= 5""")
 def bm25_fused(spark, sf_dir):
     """Weighted fusion of a prior and BM25 after min-max normalisation."""
-    both = retrieval.fuse(_lexical(spark, sf_dir).withColumn("prior", 1.0 / (1 + F.col("doc_id"))), ["item_id"], "prior", "bm25")
-    return retrieval.top_k(both.withColumn("fused", F.round("fused", 6)), ["item_id"], "fused", "doc_id", 5).select("item_id", "doc_id", "fused", "rank")
+
+    def ends(items, docs, scores):
+        return {"item_id": items, "lo": scores.min(1), "hi": scores.max(1)}
+
+    found = _lexical(spark, sf_dir, "item_id long, lo double, hi double", ends).groupBy("item_id").agg(F.min("lo"), F.max("hi"))
+    bounds = {r[0]: (r[1], r[2]) for r in found.collect()}  # one row for each item
+    first, last = table(spark, sf_dir, "documents").agg(F.min("doc_id"), F.max("doc_id")).first()
+
+    def scaled(x, lo, hi):
+        return np.where(hi - lo < 1e-12, 1.0, (x - lo) / np.where(hi - lo < 1e-12, 1.0, hi - lo))
+
+    def pick(items, docs, scores):
+        lo, hi = np.array([bounds[i] for i in items.tolist()]).T[:, :, None]
+        prior = scaled(1.0 / (1 + docs), 1.0 / (1 + last), 1.0 / (1 + first))
+        fused = retrieval.half_up(0.7 * prior + (1 - 0.7) * scaled(scores, lo, hi))
+        i, j = retrieval.best_places(fused, docs, 5)
+        return {"item_id": items[i], "doc_id": docs[j], "fused": fused[i, j]}
+
+    return retrieval.top_k(_lexical(spark, sf_dir, "item_id long, doc_id long, fused double", pick), ["item_id"], "fused", "doc_id", 5).select("item_id", "doc_id", "fused", "rank")
 
 
 @query("""WITH q AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id < 5),
