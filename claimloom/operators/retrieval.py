@@ -150,6 +150,26 @@ def best_places(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray
     return row[keep], col[keep]
 
 
+def in_blocks(queries: DataFrame, rows: DataFrame, schema: str, reduce, block: int = 4096) -> DataFrame:
+    """All queries (with qv) against all rows (with vec_id, embedding): blocks of both meet in cells, one
+    matrix product each.  ``reduce(queries, rows, cosines)``, pandas frames and inner products rounded
+    to 6 places, gives the columns that leave a cell, so what moves on follows the queries."""
+    high, wide = (max(1, -(-x.count() // block)) for x in (queries, rows))
+
+    def dealt(df: DataFrame, key: str, own: str, n: int, other: str, m: int) -> DataFrame:
+        place = F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+        return df.withColumn(own, place).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1)))).groupBy("_high", "_wide")
+
+    def run(q, x):
+        if not len(q) or not len(x):
+            return pd.DataFrame(columns=names)
+        y, z = (np.stack(v.to_numpy()).astype(float) for v in (q["qv"], x["embedding"]))
+        return pd.DataFrame(reduce(q, x, half_up(y @ z.T)), columns=names)
+
+    names = [c.split()[0] for c in schema.split(", ")]
+    return dealt(queries, "query_id", "_high", high, "_wide", wide).cogroup(dealt(rows, "vec_id", "_wide", wide, "_high", high)).applyInPandas(run, schema)
+
+
 def fuse(scored: DataFrame, by: list[str], prior: str, lexical: str, alpha: float = 0.7) -> DataFrame:
     return scored.withColumn("fused", alpha * minmax(F.col(prior), by) + (1 - alpha) * minmax(F.col(lexical), by))
 

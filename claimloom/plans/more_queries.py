@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from claimloom.functions import text as X
 from claimloom.operators import claims, retrieval
-from claimloom.plans.queries import _PAIRS, _TIER, _senses, query, table
+from claimloom.plans.queries import _PAIRS, _TIER, _hits, _vectors, query, table
 from claimloom.sources import lexical
 
 
@@ -57,7 +57,7 @@ def hub_lifecycle(spark, sf_dir):
 SELECT count(*) AS queries, count_if(query_id = vec_id) AS found, count_if(ql = label) AS same_class FROM r WHERE k = 1""")
 def self_retrieval_audit(spark, sf_dir):
     """Does every sense retrieve itself?"""
-    best = retrieval.top_k(_senses(spark, sf_dir), ["query_id"], "cosine", "vec_id", 1)
+    best = _hits(*_vectors(spark, sf_dir, every=1), 1)
     return best.agg(F.count(F.lit(1)).alias("queries"), F.count_if(F.col("query_id") == F.col("vec_id")).alias("found"), F.count_if(F.col("ql") == F.col("label")).alias("same_class"))
 
 

@@ -36,12 +36,29 @@ _PAIRS = """q AS (SELECT vec_id AS query_id, embedding AS qv, label AS ql FROM e
 s AS (SELECT query_id, ql, vec_id, label, round(list_inner_product(qv::DOUBLE[], embedding::DOUBLE[]), 6) AS cosine FROM q, embeddings)"""
 
 
-def _senses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five query vectors against every sense: a stated query set, broadcast because it has five
-    rows whatever the table's size."""
-    e = table(spark, sf_dir, "embeddings")
-    q = F.broadcast(e.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"), F.col("label").alias("ql")))
-    return e.join(q).select("query_id", "ql", "vec_id", "label", F.round(retrieval.dot(F.col("qv"), F.col("embedding")), 6).alias("cosine"), F.expr(_TIER).alias("definition_tier"))
+_HIT = "query_id long, ql int, vec_id long, label int, cosine double, score double"
+
+
+def _vectors(spark: SparkSession, sf_dir: str, every: int = 20) -> tuple[DataFrame, DataFrame]:
+    """The query vectors, ids divisible by ``every``, and all senses."""
+    e = table(spark, sf_dir, "embeddings").where("embedding IS NOT NULL")
+    return e.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"), F.col("label").alias("ql")), e.select("vec_id", "embedding", "label")
+
+
+def _hits(queries: DataFrame, senses: DataFrame, k: int, score=lambda q, x, cosine: cosine) -> DataFrame:
+    """The k best senses of each query by ``score``, -inf for those that do not count."""
+
+    def reduce(q, x, cosine):
+        s, ids = score(q, x, cosine), x["vec_id"].to_numpy()
+        i, j = retrieval.best_places(s, ids, k)
+        return {"query_id": q["query_id"].to_numpy()[i], "ql": q["ql"].to_numpy()[i], "vec_id": ids[j], "label": x["label"].to_numpy()[j], "cosine": cosine[i, j], "score": s[i, j]}
+
+    return retrieval.top_k(retrieval.in_blocks(queries, senses, _HIT, reduce), ["query_id"], "score", "vec_id", k)
+
+
+def _others(q, x, cosine):
+    """A query is no candidate of its own."""
+    return np.where(q["query_id"].to_numpy()[:, None] == x["vec_id"].to_numpy(), -np.inf, cosine)
 
 
 @query(f"""WITH {_PAIRS}, p AS (SELECT query_id, vec_id, cosine, round(cosine + CAST({_BONUS} AS DOUBLE) + CASE WHEN label = ql THEN CAST(0.10 AS DOUBLE) ELSE 0 END, 6) AS policy_score FROM s WHERE label % 7 <= 4),
@@ -49,16 +66,34 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY policy_sc
 SELECT query_id, vec_id, cosine, policy_score, rank FROM r WHERE rank <= 10""")
 def vector_topk_policy(spark, sf_dir):
     """Best senses by cosine with policy scoring: tier floor, tier bonus, part-of-speech bonus."""
-    scored = retrieval.with_policy(_senses(spark, sf_dir), min_tier=5, pos=F.col("label") == F.col("ql"))
-    return retrieval.top_k(scored, ["query_id"], "policy_score", "vec_id", 10).select("query_id", "vec_id", "cosine", "policy_score", "rank")
+    queries, senses = _vectors(spark, sf_dir)
+    bonus = retrieval.with_policy(senses.withColumn("definition_tier", F.expr(_TIER)).withColumn("cosine", F.lit(0.0)), min_tier=5)
+
+    def score(q, x, cosine):
+        same = q["ql"].to_numpy()[:, None] == x["label"].to_numpy()
+        return retrieval.half_up(cosine + x["policy_score"].to_numpy() + np.where(same, 0.10, 0.0))
+
+    return _hits(queries, bonus, 10, score).select("query_id", "vec_id", "cosine", F.col("score").alias("policy_score"), "rank")
 
 
 @query(f"""WITH {_PAIRS}, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, vec_id, cosine, rank FROM r WHERE rank <= 5 OR vec_id = query_id + 100""")
 def vector_topk_pinned(spark, sf_dir):
     """Top five, and a guaranteed member whatever its rank."""
-    pinned = _senses(spark, sf_dir).withColumn("exact", F.col("vec_id") == F.col("query_id") + 100)
-    return retrieval.top_k(pinned, ["query_id"], "cosine", "vec_id", 5, "exact").select("query_id", "vec_id", "cosine", "rank")
+    queries, senses = _vectors(spark, sf_dir)
+    pins = senses.select((F.col("vec_id") - 100).alias("query_id"), F.col("embedding").alias("pv"))
+
+    def beaten(q, x, cosine):
+        """How many rows of the cell stand before the pinned one."""
+        own = retrieval.half_up((np.stack(q["qv"].to_numpy()).astype(float) * np.stack(q["pv"].to_numpy()).astype(float)).sum(1))[:, None]
+        pin = q["query_id"].to_numpy()[:, None] + 100
+        ids = x["vec_id"].to_numpy()
+        before = ((cosine > own) | ((cosine == own) & (ids < pin))) & (ids != pin)
+        return {"query_id": q["query_id"].to_numpy(), "vec_id": pin[:, 0], "cosine": own[:, 0], "before": before.sum(1)}
+
+    cells = retrieval.in_blocks(queries.join(pins, "query_id"), senses, "query_id long, vec_id long, cosine double, before long", beaten)
+    pinned = cells.groupBy("query_id", "vec_id", "cosine").agg((F.sum("before") + 1).cast("int").alias("rank")).where("rank > 5")
+    return _hits(queries, senses, 5).select("query_id", "vec_id", "cosine", "rank").unionByName(pinned)
 
 
 @query(f"""WITH {_PAIRS}, n AS (SELECT query_id, (cosine - min(cosine) OVER w) / (max(cosine) OVER w - min(cosine) OVER w) AS z FROM s WINDOW w AS (PARTITION BY query_id)),
@@ -67,7 +102,14 @@ m AS (SELECT query_id, max(CASE WHEN k = 1 THEN z END) - max(CASE WHEN k = 2 THE
 SELECT query_id, round(margin, 6) AS margin, margin < 0.55 AS fires FROM m""")
 def margin_gate(spark, sf_dir):
     """Is the margin between the first two so small that a costlier stage should run?"""
-    m = retrieval.margin(_senses(spark, sf_dir), ["query_id"], "cosine")
+    def ends(q, x, cosine):
+        i, j = retrieval.best_places(cosine, x["vec_id"].to_numpy(), 2)
+        return {"query_id": q["query_id"].to_numpy()[i], "cosine": cosine[i, j], "lo": cosine.min(1)[i]}
+
+    cells = retrieval.in_blocks(*_vectors(spark, sf_dir), "query_id long, cosine double, lo double", ends)
+    two = cells.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list("cosine"), False), 1, 2).alias("top"), F.min("lo").alias("lo"))
+    hi, lo, second = F.get("top", F.lit(0)), F.col("lo"), F.get("top", F.lit(1))
+    m = two.select("query_id", F.when(second.isNull(), 1.0).when(hi - lo < 1e-12, 0.0).otherwise(1 - (second - lo) / (hi - lo)).alias("margin"))
     return m.select("query_id", F.round("margin", 6).alias("margin"), retrieval.should_fire(F.lit("when_tight"), F.col("margin"), 0.55, F.lit(True)).alias("fires"))
 
 
@@ -134,7 +176,7 @@ e AS (SELECT CAST(query_id AS BIGINT) AS query_id, count(*) AS senses FROM b JOI
 SELECT b.query_id, cosine, CASE WHEN coalesce(senses, 0) = 1 THEN 1 WHEN cosine >= 0.80 THEN 2 WHEN cosine >= 0.65 THEN 3 ELSE 4 END AS level FROM b LEFT JOIN e USING (query_id)""")
 def lookup_cascade(spark, sf_dir):
     """The step of the lookup cascade that decides each query."""
-    best = _senses(spark, sf_dir).where("vec_id <> query_id AND vec_id >= 5").groupBy("query_id").agg(F.max("cosine").alias("cosine"))
+    best = _hits(*_vectors(spark, sf_dir), 1, _others)
     exact = table(spark, sf_dir, "part").groupBy(F.col("p_size").cast("long").alias("query_id")).agg(F.count(F.lit(1)).alias("senses"))
     return best.join(exact, "query_id", "left").select("query_id", "cosine", retrieval.lookup_level(F.coalesce("senses", F.lit(0)), F.col("cosine"), F.lit(0.0)).alias("level"))
 
@@ -143,8 +185,9 @@ def lookup_cascade(spark, sf_dir):
 SELECT q.query_id, r.vec_id, r.cosine FROM q LEFT JOIN r ON r.query_id = q.query_id AND k = 1""")
 def batch_search(spark, sf_dir):
     """The best hit for every query, a row of nulls for those without one."""
-    s = _senses(spark, sf_dir)
-    return retrieval.best_or_empty(s.select("query_id").distinct(), s.where("vec_id <> query_id AND cosine > 0.42").select("query_id", "vec_id", "cosine"), "query_id", "cosine", "vec_id")
+    queries, senses = _vectors(spark, sf_dir)
+    hits = _hits(queries, senses, 1, lambda q, x, cosine: np.where(cosine > 0.42, _others(q, x, cosine), -np.inf))
+    return retrieval.best_or_empty(queries.select("query_id").distinct(), hits.select("query_id", "vec_id", "cosine"), "query_id", "cosine", "vec_id")
 
 
 @query("""WITH k AS (SELECT DISTINCT lower(p_name) AS c FROM part WHERE p_size < 20)
