@@ -127,3 +127,20 @@ def test_empty_and_repeated_rows(spark):
     df = docs_of(spark, ["q" * 50 + "".join(map(str, range(90))), "z"])
     rows = S.cut_repeats(df.union(df)).collect()
     assert len(rows) == 4 and all(not r.spans for r in rows)
+
+
+def test_null_and_repeated_ids_are_documents_of_their_own(spark):
+    rng = random.Random(13)
+    text = lambda k: "".join(rng.choice("abcdefgh") for _ in range(k))
+    shared, other = text(150), text(150)
+    rows = [(3, text(200) + shared), (None, text(250) + shared + text(60)), (None, text(700)), (None, text(90) + other), (4, other + text(40))]
+    rows += [(5, text(300) + other), (5, text(400)), (-2, text(120)), (None, "z" * 40 + text(100)), (2**63 - 1, text(300) + shared)]
+    rows += [(None, rows[2][1])]
+    df = spark.createDataFrame([(i, t, t) for i, t in rows], "doc_id long, text string, whole string").repartition(3)
+    # texts that share an id share nothing, but one pair of equal texts, so the order among them does not tell
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
+    want = brute([t for _, t in order], 100)
+    want = sorted((str(i), t, *map(str, want[j])) for j, (i, t) in enumerate(order))
+    got = S.cut_repeats(df, 100, 32).collect()
+    assert sorted((str(r.row.doc_id), r.row.whole, str([(s.start, s.stop) for s in r.spans]), str(bytes(r.kept))) for r in got) == want
+    assert sum(len(r.spans) for r in got) == 5
