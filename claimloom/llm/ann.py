@@ -7,6 +7,9 @@ order of their estimated success (the chance that a neighbour at the fitted dist
 the cell) until the tables together promise ``aim``; all rows of the visited buckets are scored
 exactly, in double precision, as matrix products.
 
+A query whose list is short, or whose last neighbour lies beyond the distance that the visited cells
+cover, is scored against all rows in blocks, so that a fit to dense clusters loses no row outside.
+
 The fit (distance of the ``k``-th neighbour, hence W) uses a bounded sample of ``sample`` rows;
 every row is indexed.  Equal vectors are one class: it is hashed and scored once and at most k + 1
 of its smallest ids come back, which is all that a list of k can show.  A bucket that holds too
@@ -36,6 +39,8 @@ AIM = 0.985
 SAMPLE = 2000
 SEED = 5
 BLOCK = 4096
+#: A list whose last row lies farther than so many fitted distances is searched again, exactly.
+COVERED = 1.1
 
 
 def projections(dim: int, table: int, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -141,7 +146,7 @@ def nearest(rows: DataFrame, k: int = TOP_K, every: int = 20, tables: int = TABL
     members = vectors.select("id", "vec", "dim").withColumn("n", F.row_number().over(by_vector)).where(F.col("n") <= k + 1)
     members = C.written(members, "members")
     reps = members.where("n = 1").select(F.col("id").alias("rep"), "vec", "dim")
-    queries = vectors.where(F.col("id") % every == 0).select(F.col("id").alias("query_id"), "vec").join(reps, "vec").select("query_id", "rep")
+    queries = vectors.where(F.col("id") % every == 0).select(F.col("id").alias("query_id"), "vec", "norm").join(reps, "vec").select("query_id", "rep", "norm", "dim")
     queries = C.written(queries, "queries")
     facts = vectors.agg(F.max("norm").alias("most"), F.count(F.lit(1)).alias("n")).first()
     most, total = facts["most"] or 1.0, facts["n"]
@@ -245,12 +250,49 @@ def nearest(rows: DataFrame, k: int = TOP_K, every: int = 20, tables: int = TABL
     near = laid.mapInArrow(C.lean(score), "q long, c long, score double").dropDuplicates(["q", "c"])
     first = Window.partitionBy("q").orderBy(F.desc("score"), "c")
     near = near.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1).select("q", "c", "score")
+    near = C.written(near, "near")
     ids = members.select("id", "vec").join(reps.select("rep", "vec"), "vec").select(F.col("rep").alias("c"), F.col("id").alias("vec_id"))
-    lists = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
-    wide = near.join(ids, "c").withColumn("n", F.row_number().over(lists)).where(F.col("n") <= k + 1).select("q", "vec_id", "score")
-    own = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    out = queries.select("query_id", F.col("rep").alias("q")).join(wide, "q").where("query_id <> vec_id")
-    return out.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def lists(near: DataFrame) -> DataFrame:
+        by_query = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
+        wide = near.join(ids, "c").withColumn("n", F.row_number().over(by_query)).where(F.col("n") <= k + 1).select("q", "vec_id", "score")
+        own = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        out = queries.select("query_id", F.col("rep").alias("q")).join(wide, "q").where("query_id <> vec_id")
+        return out.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    out = lists(near)
+    got = out.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("worst"))
+    others = vectors.groupBy("dim").agg((F.count(F.lit(1)) - 1).alias("others"))
+    full = F.coalesce("n", F.lit(0)) >= F.least("others", F.lit(k))
+    far = (F.col("others") > k) & (2 - 2 * F.col("worst") / (F.col("norm") * most) > (COVERED * distance) ** 2)
+    redo = queries.join(got, "query_id", "left").join(F.broadcast(others), "dim").where(~full | far).select(F.col("rep").alias("q")).distinct()
+    redo = C.written(redo, "redo")
+    if not redo.limit(1).count():
+        return out
+    exact = exact_near(redo, reps, k + 1).withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1).select("q", "c", "score")
+    return lists(near.join(redo, "q", "left_anti").unionByName(exact))
+
+
+def exact_near(asked: DataFrame, reps: DataFrame, k: int) -> DataFrame:
+    """(q, c, score): the classes ``asked`` (q) against all classes of their length, in cells of blocks
+    of both; the best ``k`` of each cell leave it."""
+    high, wide = (max(1, -(-x.count() // BLOCK)) for x in (asked, reps))
+
+    def dealt(df: DataFrame, key: str, own: str, n: int, other: str, m: int):
+        place = F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+        return df.withColumn(own, place).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1)))).groupBy("dim", "high", "wide")
+
+    def run(cell, q: pa.Table, x: pa.Table) -> pa.Table:
+        dim, best = cell[0].as_py(), Best(k)
+        for i, v in zip(q.column("q").to_pylist(), q.column("vec").to_pylist()):
+            best.add(i, np.frombuffer(v, np.float64), np.zeros(1, np.int64))
+        if x.num_rows:
+            best.meet(0, x.column("c").to_numpy(), np.frombuffer(b"".join(x.column("vec").to_pylist()), np.float64).reshape(-1, dim))
+        return pa.Table.from_batches(best.out(), pa.schema([("q", pa.int64()), ("c", pa.int64()), ("score", pa.float64())]))
+
+    questions = C.written(reps.join(asked, F.col("rep") == F.col("q"), "left_semi").select(F.col("rep").alias("q"), "vec", "dim"), "questions")
+    rows = reps.select(F.col("rep").alias("c"), "vec", "dim")
+    return dealt(questions, "q", "high", high, "wide", wide).cogroup(dealt(rows, "c", "wide", wide, "high", high)).applyInArrow(run, "q long, c long, score double")
 
 
 class Best:

@@ -59,3 +59,25 @@ def test_copies_and_odd_vectors(spark):
 def test_empty(spark):
     assert A.nearest(table(spark, [(1, [1.0, 0.0], 0)]).where("vec_id > 3")).collect() == []
     assert A.nearest(table(spark, [(0, [1.0, 0.0], 0)])).collect() == []
+
+
+def test_rows_outside_tight_clusters(spark):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((2000, 16))
+    alone = np.arange(2000) % 20 == 0  # 5 %, the queries
+    alone[:400:20] = False
+    x[~alone] = x[:8][rng.integers(0, 8, (~alone).sum())] + 1e-3 * rng.standard_normal(((~alone).sum(), 16))
+    vectors = {i: [float(v) for v in np.float32(r)] for i, r in enumerate(x)}
+    got = run(spark, vectors, 0.95)
+    _, want = brute(vectors, 20, 20)
+    assert set(got) == set(want) and all(len(rows) == 20 for rows in got.values())
+    recall = [len({i for _, i, _ in got[q]} & set(want[q])) / 20 for q in want]
+    print("recall", np.mean(recall), min(recall), np.mean([r for q, r in zip(want, recall) if alone[q]]))
+    assert min(recall) >= 0.75 and min(r for q, r in zip(want, recall) if alone[q]) == 1
+
+
+def test_small_tables_give_all_candidates(spark):
+    rng = np.random.default_rng(5)
+    vectors = {i: [float(v) for v in np.float32(rng.standard_normal(4) * 10.0 ** rng.integers(-3, 1))] for i in range(21)}
+    got = run(spark, vectors, 1)
+    assert {q: len(rows) for q, rows in got.items()} == {0: 20, 20: 20}
