@@ -128,15 +128,21 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     asked = asked.select("conv", "turn", F.col("u.units").alias("unit"), F.col("u.levels").alias("level"), F.col("u.weights").alias("weight")).distinct()
     held = rows.where("turn IS NOT NULL").select("conv", "turn", F.explode("own").alias("unit"))
     here = held.groupBy("conv", "unit").agg(F.min("turn").alias("here"))
-    anywhere = held.groupBy("unit").agg(F.min(F.struct("conv", "turn")).alias("first"))
+    by_conv = here.select("unit", F.struct("conv", F.col("here").alias("turn")).alias("holder"))
+    anywhere = by_conv.groupBy("unit").agg(F.min("holder").alias("first"))
+    # the earliest holder from a different conversation, for those who ask in the first one's
+    others = by_conv.join(anywhere, "unit").where(~F.col("holder.conv").eqNullSafe(F.col("first.conv")))
+    second = others.groupBy("unit").agg(F.min("holder").alias("second"))
+    anywhere = anywhere.join(second, "unit", "left")
     found = (
         asked.alias("a")
         .join(here.alias("h"), F.col("a.conv").eqNullSafe(F.col("h.conv")) & (F.col("a.unit") == F.col("h.unit")), "left")
         .join(anywhere.alias("w"), F.col("a.unit") == F.col("w.unit"), "left")
-        .select("a.conv", "a.turn", "level", "weight", "here", "first")
+        .select("a.conv", "a.turn", "level", "weight", "here", "first", "second")
     )
+    found = found.withColumn("first", F.when(F.col("first.conv").eqNullSafe(F.col("conv")), F.col("second")).otherwise(F.col("first")))
     inside = F.col("here") < F.col("turn")
-    other = F.col("first").isNotNull() & ~(F.col("first.conv").eqNullSafe(F.col("conv")))
+    other = F.col("first").isNotNull()
     found = found.withColumn("origin", F.when(inside, F.struct("conv", F.col("here").alias("turn"))).when(other, F.col("first"))).where("origin IS NOT NULL").withColumn("inside", F.coalesce(inside, F.lit(False)))
     votes = found.groupBy("conv", "turn", "inside", "level", "origin").agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("n"))
     # own conversation first, then the least level, the most letters, the latest message

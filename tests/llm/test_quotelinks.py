@@ -100,3 +100,11 @@ def test_odd_rows(spark):
     assert sorted(r.position for r in got if r.conv == 7) == [0, 1, 2, 3]
     assert sorted(r.position for r in got if r.conv is None) == [0, 1]
     assert Q.link_quotes(table(spark, rows).where("turn > 9")).collect() == []
+
+
+def test_original_elsewhere_when_the_asker_repeats_the_quote(spark):
+    line = "the kettle was never plugged in at all"
+    rows = [(1, 0, "user", f"> {line}\n{line}"), (2, 0, "user", line), (3, 0, "user", line), (4, 0, "user", f"> {line}")]
+    out = Q.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = {r.conv: (r.origin_conv, r.origin_turn, r.n_linked > 0) for r in out.collect()}
+    assert got == {1: (2, 0, True), 2: (None, None, False), 3: (None, None, False), 4: (1, 0, True)}
