@@ -18,6 +18,7 @@ own; an empty table gives no rows; further columns of the input are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -41,6 +42,7 @@ class WordTokens:
     its pre-tokens in turn.  Pre-token borders are found for all texts together with NumPy (the
     class of a code point is asked of the tokenizer's own pre-tokenizer when first met); each
     distinct pre-token is encoded by the tokenizer's model once and kept in a direct-mapped table.
+    Added tokens (such as an end mark) that a text spells out get their own id, as the tokenizer does.
     """
 
     SLOTS = 1 << 19
@@ -50,8 +52,11 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         self.model = self.tok.model
+        # strings that the tokenizer takes out of a text before anything else, the longest first
+        self.added = {t.content: i for i, t in self.tok.get_added_tokens_decoder().items()}
+        longest = sorted(self.added, key=len, reverse=True)
+        self.cut_at = re.compile("|".join(map(re.escape, longest))) if longest else None
         self.cls = np.full(0x110000, 255, np.uint8)
         self.codes = C.mix64(np.arange(0x110000, dtype=np.uint64), 5) | np.uint64(1)
 
@@ -62,6 +67,8 @@ class WordTokens:
 
     def word_ids(self, word: str) -> list[int]:
         """Ids of one pre-token, from the tokenizer's own model."""
+        if word in self.added:
+            return [self.added[word]]
         return [x.id for x in self.model.tokenize(word.encode().decode("latin-1").translate(self.alphabet))]
 
     def _reset(self):
@@ -108,6 +115,18 @@ class WordTokens:
                 st[i[hit] + 1 + width] = True
         return np.flatnonzero(st[:n])
 
+    def added_places(self, text: str, co: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of added tokens; none spans two texts."""
+        found, at = [], 0
+        while self.cut_at and (m := self.cut_at.search(text, at)):
+            a, b = m.span()
+            inside = np.searchsorted(co, a, side="right") == np.searchsorted(co, b, side="left")
+            if inside:
+                found.append((a, b))
+            at = b if inside else a + 1
+        both = np.array(found, np.int64).reshape(-1, 2)
+        return both[:, 0], both[:, 1]
+
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and their offsets in it."""
         text = data.tobytes().decode("utf-8")
@@ -120,7 +139,13 @@ class WordTokens:
             co = lead[offs]
         if not len(cp):
             return np.zeros(0, np.uint32), np.zeros(len(offs), np.int64)
-        start = self.borders(cp, co)
+        a, b = self.added_places(text, co)
+        if len(a):  # each stands alone, and what is between is split like a text of its own
+            start = self.borders(cp, np.unique(np.concatenate([co, a, b])))
+            last = np.searchsorted(a, start, side="right") - 1
+            start = start[(last < 0) | (start >= b[last]) | (start == a[last])]
+        else:
+            start = self.borders(cp, co)
         end = np.append(start[1:], len(cp))
         from claimloom.llm.textkernel import _powers
 

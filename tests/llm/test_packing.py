@@ -18,9 +18,7 @@ ALPHABET = ["'", " ", "  ", "\n", "\t", "s", "t", "re", "ve", "ll", "m", "d", "a
 def reference():
     from tokenizers import Tokenizer
 
-    tok = Tokenizer.from_file(P.default_tokenizer())
-    tok.encode_special_tokens = True
-    return tok
+    return Tokenizer.from_file(P.default_tokenizer())
 
 
 def test_ids_equal_the_tokenizer(reference):
@@ -33,6 +31,16 @@ def test_ids_equal_the_tokenizer(reference):
         assert x.ids == ids[tops[i] : tops[i + 1]].tolist(), texts[i]
 
 
+def test_added_tokens_are_those_of_the_tokenizer_as_loaded(reference):
+    texts = ["a<|endoftext|>b", "a <|endoftext|> b", "<|endoftext|>", "<|endof", "text|>", "it<|endoftext|>'s <|endoftext|><|endoftext|> x", "  <|endoftext|>\n\n"]
+    own = P.WordTokens(P.default_tokenizer())
+    data, offs = C.col_bytes(pa.array(texts))
+    ids, tops = own.encode(data, offs)
+    for i, x in enumerate(reference.encode_batch(texts, add_special_tokens=False)):
+        assert x.ids == ids[tops[i] : tops[i + 1]].tolist(), texts[i]
+    assert 50256 in ids.tolist()
+
+
 def test_small_table_of_words_still_gives_exact_ids(reference):
     own = P.WordTokens(P.default_tokenizer())
     own.POOL = 50  # forces resets
@@ -80,7 +88,7 @@ def test_plan_places_every_piece_and_is_tight():
 
 def test_pack_round_trip(spark, reference):
     rng = random.Random(11)
-    texts = [None, "", "a b c", "a b c"] + [" ".join("".join(rng.choices("abcdexyz", k=rng.randint(1, 9))) for _ in range(rng.choice([3, 60, 400, 900, 5000]))) for _ in range(40)]
+    texts = [None, "", "a b c", "a<|endoftext|> b c"] + [" ".join("".join(rng.choices("abcdexyz", k=rng.randint(1, 9))) for _ in range(rng.choice([3, 60, 400, 900, 5000]))) for _ in range(40)]
     df = docs_of(spark, texts).withColumnRenamed("n_chars", "length")  # a clashing name
     rows = P.pack(df).collect()
     by_doc, by_seq = defaultdict(list), defaultdict(list)
