@@ -41,37 +41,40 @@ def lowered(column) -> pa.Array:
     return pc.utf8_lower(column.fill_null(""))
 
 
-def grams(data: np.ndarray, offs: np.ndarray):
-    """(code, text) of every 1-, 2- and 3-gram; a code tells its length."""
-    x = _LETTER[data].astype(np.int32)
-    n = len(x)
-    # blanks that follow a blank carry nothing
-    keep = np.ones(n, bool)
-    keep[1:] = (x[1:] != 32) | (x[:-1] != 32)
-    starts = offs[:-1][(offs[:-1] < n)]
-    keep[starts] = True
-    doc = np.repeat(np.arange(len(offs) - 1), np.diff(offs))[keep]
-    x = x[keep]
+def collapsed(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Letters with one blank for each run of other ASCII, and the offsets of the texts in them."""
+    x = _LETTER[data]
+    keep = np.ones(len(x), bool)
+    keep[1:] = (x[1:] != 32) | (x[:-1] != 32)  # blanks that follow a blank carry nothing
+    keep[offs[:-1][offs[:-1] < len(x)]] = True
+    at = np.zeros(len(x) + 1, np.int64)
+    np.cumsum(keep, out=at[1:])
+    return x[keep], at[offs]
+
+
+def grams(x: np.ndarray, offs: np.ndarray):
+    """(code, text) of every 1-, 2- and 3-gram of collapsed texts; a code tells its length."""
+    doc = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
+    x = x.astype(np.int32)
     one, two, three = x, (x[:-1] << 8) | x[1:], (x[:-2] << 16) | (x[1:-1] << 8) | x[2:]
     in2, in3 = doc[:-1] == doc[1:], doc[:-2] == doc[2:]
     return np.concatenate([one, two[in2] | (1 << 24), three[in3] | (2 << 24)]), np.concatenate([doc, doc[:-1][in2], doc[:-2][in3]])
 
 
 def presence(column, index: np.ndarray, width: int):
-    """Batches (first row, matrix of 0 and 1) over whole texts; ``index`` maps codes to columns."""
+    """Batches (first row, matrix of 0 and 1) over whole texts; ``index`` maps codes to columns.
+
+    Texts go through in strips of bounded size that overlap by two collapsed bytes, so that every
+    n-gram stands whole in one of them; presence is a union."""
     data, offs = C.col_bytes(column)
     for lo, hi in C.byte_slices(offs, SLICE):
         for a in range(lo, hi, ROWS):
             b = min(hi, a + ROWS)
             out = np.zeros((b - a, width + 1), np.float32)
-            begin, end = offs[a], offs[b]
-            # a very long text goes in strips that overlap by two bytes; presence is a union
-            if b - a == 1 and end - begin > 4 * SLICE:
-                for s in range(int(begin), int(end), SLICE):
-                    code, _ = grams(data[s : min(int(end), s + SLICE + 2)], np.array([0, min(int(end), s + SLICE + 2) - s]))
-                    out[0, index[code]] = 1
-            else:
-                code, doc = grams(data[begin:end], offs[a : b + 1] - begin)
+            x, at = collapsed(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
+            for s in range(0, len(x), SLICE):
+                e = min(len(x), s + SLICE + 2)
+                code, doc = grams(x[s:e], np.clip(at, s, e) - s)
                 out[doc, index[code]] = 1
             yield a, out[:, :width]
 
@@ -97,7 +100,7 @@ def fit(texts: list[str], langs: list[str], landmarks: int = LANDMARKS, min_df:
     sets = []
     for t in texts:
         data = np.frombuffer(t.lower().encode(), np.uint8)
-        sets.append(np.unique(grams(data, np.array([0, len(data)]))[0]) if len(data) else np.zeros(0, np.int32))
+        sets.append(np.unique(grams(*collapsed(data, np.array([0, len(data)])))[0]) if len(data) else np.zeros(0, np.int32))
     codes, df = np.unique(np.concatenate([sets[i] for i in chosen]), return_counts=True)
     vocabulary = codes[df >= min(min_df, len(chosen))]
     if not len(vocabulary):
