@@ -101,16 +101,91 @@ def decayed(value: Column, age_days: Column, half_life: float) -> Column:
 
 
 def latest_version(edges: DataFrame, most: int = 64) -> DataFrame:
-    """Follow SUPERSEDED-BY links (old, new) to the end by doubling: old, latest."""
-    now = edges.select("old", F.col("new").alias("latest"))
+    """Follow SUPERSEDED-BY links (old, new) to the end by doubling: old, latest.  Each round is cut off
+    from the one before, so the plan stays as long as one round."""
+    from claimloom.operators.graph import _cut
+
+    now = _cut(edges.select("old", F.col("new").alias("latest")))
     for _ in range(most):
-        step = now.alias("a").join(now.alias("b"), F.col("a.latest") == F.col("b.old"), "left").select(F.col("a.old").alias("old"), F.coalesce("b.latest", "a.latest").alias("latest"), F.col("b.old").isNotNull().alias("moved"))
+        step = _cut(now.alias("a").join(now.alias("b"), F.col("a.latest") == F.col("b.old"), "left").select(F.col("a.old").alias("old"), F.coalesce("b.latest", "a.latest").alias("latest"), F.col("b.old").isNotNull().alias("moved")))
         if not step.where("moved").limit(1).count():
             return now
         now = step.select("old", "latest")
     raise RuntimeError("a chain of versions has a cycle")
 
 
+def shared_predicates(claims: DataFrame, predicate: list[str], member: str, least: int = 2) -> DataFrame:
+    """Groups of claims with one predicate: the first of ``predicate`` that is there (id, then lemma)."""
+    return shared_groups(claims.withColumn("predicate", F.coalesce(*predicate)), "predicate", member, least)
+
+
+def group_signals(groups: DataFrame, signal: str) -> DataFrame:
+    return groups.groupBy(signal).agg(F.count(F.lit(1)).alias("groups"))
+
+
+def as_known(rows: DataFrame, valid: Column, known: Column, start: str = "valid_from", stop: str = "valid_until", recorded: str = "recorded_at", withdrawn: str | None = None) -> DataFrame:
+    """Rows valid at one time as they were known at another: both axes half open, null ends open."""
+    out = as_of(rows, valid, start, stop).where(F.col(recorded) <= known)
+    return out.where(F.col(withdrawn).isNull() | (known < F.col(withdrawn))) if withdrawn else out
+
+
+def overlapping(left: DataFrame, right: DataFrame, start: str, stop: str, width: int, by: list[str] | None = None) -> DataFrame:
+    """Pairs of rows whose half-open intervals (numbers) overlap, each once, as columns l and r.  Every
+    interval goes into the buckets of ``width`` that it touches, rows meet bucket by bucket, and a pair
+    counts in the bucket where the later one starts."""
+    by = by or []
+    spread = lambda df, name: df.where(F.col(stop) > F.col(start)).select(F.struct(*df.columns).alias(name), *[F.col(c).alias(f"_{c}") for c in by], F.explode(F.sequence(F.floor(F.col(start) / width), F.floor((F.col(stop) - 1) / width))).alias("_b"))
+    both = spread(left, "l").join(spread(right, "r"), ["_b", *[f"_{c}" for c in by]])
+    met = (F.col(f"l.{start}") < F.col(f"r.{stop}")) & (F.col(f"r.{start}") < F.col(f"l.{stop}"))
+    return both.where(met & (F.col("_b") == F.floor(F.greatest(f"l.{start}", f"r.{start}") / width))).select("l", "r")
+
+
+def interval_relation(a_start: Column, a_stop: Column, b_start: Column, b_stop: Column) -> Column:
+    """How one half-open interval stands to another: BEFORE, AFTER, CONTAINS or OVERLAPS."""
+    return F.when(a_stop <= b_start, "BEFORE").when(b_stop <= a_start, "AFTER").when((a_start <= b_start) & (b_stop <= a_stop), "CONTAINS").otherwise("OVERLAPS")
+
+
+def range_covers(offered_lo: Column, offered_hi: Column, required_lo: Column, required_hi: Column) -> Column:
+    """Does an offered range contain the required one?  A null bound is open."""
+    low = offered_lo.isNull() | (required_lo.isNotNull() & (offered_lo <= required_lo))
+    return low & (offered_hi.isNull() | (required_hi.isNotNull() & (offered_hi >= required_hi)))
+
+
+def last_values(rows: DataFrame, key: list[str], order: list[str], values: list[str]) -> DataFrame:
+    """The last values of each key of an event store."""
+    return rows.groupBy(*key).agg(F.max_by(F.struct(*values), F.struct(*order)).alias("_v")).select(*key, "_v.*")
+
+
+def coverage(rows: DataFrame, by: list[str], matched: Column, snapped: Column, most_oov: float = 0.02) -> DataFrame:
+    """For each group: total, matched, minted, snapped, the share out of vocabulary, and whether that
+    halts it."""
+    oov = F.count_if(~matched) / F.count(F.lit(1))
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("total"), F.count_if(matched).alias("matched"), F.count_if(~matched).alias("minted"), F.count_if(F.coalesce(snapped, F.lit(False))).alias("snapped"), F.round(oov, 6).alias("oov"), (oov > most_oov).alias("halts"))
+
+
+def bridged(classes: DataFrame, key: str, sources: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """Sources tagged with the classes of one closed vocabulary, joined through it: how many rows of each
+    source a class has; classes that a source lacks are left out."""
+    for name, (df, column) in sources.items():
+        classes = classes.join(df.groupBy(F.col(column).alias(key)).agg(F.count(F.lit(1)).alias(name)), key)
+    return classes
+
+
+def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """How many rows each table has: item, n."""
+    out = None
+    for name, df in tables.items():
+        one = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("item"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def discovered(pairs: DataFrame, left: str, right: str, context: str, propose: int = 5, promote: int = 10) -> DataFrame:
+    """Edges that turn up in enough distinct contexts, and whether in enough to be promoted."""
+    n = pairs.groupBy(left, right).agg(F.count_distinct(context).alias("contexts")).where(F.col("contexts") >= propose)
+    return n.withColumn("promoted", F.col("contexts") >= promote)
+
+
 def vault_tier(confidence: Column, age_days: Column) -> Column:
     """Tiers by confidence; candidates expire after 90 days."""
     return F.when(confidence >= 0.7, "canonical").when(confidence >= 0.5, "provisional").when(age_days <= 90, "candidate").otherwise("expired")

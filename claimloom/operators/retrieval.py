@@ -6,8 +6,6 @@ import base64
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,8 +51,7 @@ def restrict_or_all(hits: DataFrame, by: list[str], wanted: Column) -> DataFrame
 def minmax(score: Column, by: list[str]) -> Column:
     """Scores of a group brought to 0..1; ones where all are equal."""
     w = Window.partitionBy(*by)
-    lo, hi = F.min(score).over(w), F.max(score).over(w)
-    return F.when(hi - lo < 1e-12, 1.0).otherwise((score - lo) / (hi - lo))
+    return scaled(score, F.min(score).over(w), F.max(score).over(w))
 
 
 def margin(scored: DataFrame, by: list[str], score: str) -> DataFrame:
@@ -79,60 +76,37 @@ def should_fire(mode: Column, margin_: Column, threshold: float, diverges_: Colu
 
 
 def bm25_over_candidates(candidates: DataFrame, query: str, doc: str, query_text: Column, text: Column, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """BM25 with the statistics of each query's own candidates; rows (query, doc, bm25).  Terms
-    are exploded only where they meet the query's, so rows follow matches."""
-    tokens = candidates.select(F.col(query), F.col(doc), search_tokens(query_text).alias("_q"), search_tokens(text).alias("_t")).withColumn("_size", F.size("_t").cast("double"))
-    per_query = Window.partitionBy(query)
-    sized = tokens.withColumn("_n", F.count(F.lit(1)).over(per_query)).withColumn("_mean", F.avg("_size").over(per_query))
-    wanted = sized.withColumn("_term", F.explode(F.array_distinct("_q")))
-    counted = wanted.withColumn("_tf", F.size(F.filter("_t", lambda x: x == F.col("_term")))).withColumn("_qtf", F.size(F.filter("_q", lambda x: x == F.col("_term"))))
-    held = counted.where("_tf > 0").withColumn("_df", F.count(F.lit(1)).over(Window.partitionBy(query, "_term")))
+    """BM25 with the statistics of each query's own candidates; rows (query, doc, bm25).  Every text is
+    split once; terms of a document meet those of a query only in the pairs that are candidates."""
+    pairs = candidates.select(query, doc)
+    asked = candidates.select(F.col(query), query_text.alias("_x")).dropDuplicates([query]).select(query, F.explode(search_tokens(F.col("_x"))).alias("_term")).groupBy(query, "_term").agg(F.count(F.lit(1)).alias("_qtf"))
+    tokens = candidates.select(F.col(doc), text.alias("_x")).dropDuplicates([doc]).select(doc, search_tokens(F.col("_x")).alias("_t")).withColumn("_size", F.size("_t").cast("double"))
+    words = tokens.select(doc, F.explode("_t").alias("_term")).join(asked.select("_term").distinct(), "_term", "left_semi").groupBy(doc, "_term").agg(F.count(F.lit(1)).alias("_tf"))
+    sized = pairs.join(tokens.select(doc, "_size"), doc)
+    stats = sized.groupBy(query).agg(F.count(F.lit(1)).alias("_n"), F.avg("_size").alias("_mean"))
+    held = sized.join(words, doc).join(asked, [query, "_term"])
+    df = held.groupBy(query, "_term").agg(F.count(F.lit(1)).alias("_df"))
+    full = held.join(df, [query, "_term"]).join(stats, query)
     idf = F.log((F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5) + 1)
     part = F.col("_qtf") * idf * (F.col("_tf") * (k1 + 1)) / (F.col("_tf") + k1 * (1 - b + b * F.col("_size") / F.col("_mean")))
-    scores = held.groupBy(query, doc).agg(F.sum(part).alias("bm25"))
-    return candidates.select(query, doc).join(scores, [query, doc], "left").select(query, doc, F.coalesce("bm25", F.lit(0.0)).alias("bm25"))
-
+    scores = full.groupBy(query, doc).agg(F.sum(part).alias("bm25"))
+    return pairs.join(scores, [query, doc], "left").select(query, doc, F.coalesce("bm25", F.lit(0.0)).alias("bm25"))
 
-def bm25_over_all(queries: DataFrame, docs: DataFrame, query: str, doc: str, query_text: Column, text: Column, schema: str, pick, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """BM25 of every query against every document, with statistics of all documents.
 
-    The driver holds the queries and the counts of their distinct terms.  Each batch of documents is
-    scored against all queries as a product of sparse rows; ``pick(query_ids, doc_ids, scores)``,
-    scores of shape (queries, documents) rounded to 6 places, gives the columns that leave the batch."""
-    asked = queries.select(F.col(query), search_tokens(query_text).alias("_q")).orderBy(query).collect()
-    ids = np.array([r[0] for r in asked], np.int64)
-    vocabulary = sorted({t for r in asked for t in r["_q"]})
-    place = {t: i for i, t in enumerate(vocabulary)}
-    tokens = docs.select(F.col(doc).cast("long").alias("_d"), search_tokens(text).alias("_t"))
+def bm25(queries: DataFrame, docs: DataFrame, query: str, doc: str, query_text: Column, text: Column, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """BM25 of every query over the documents that hold one of its terms, with the statistics of all
+    documents: rows (query, doc, bm25).  Each document is split once into its counts of asked terms;
+    pairs of query and document arise only where they share a term."""
+    asked = queries.select(F.col(query), F.explode(search_tokens(query_text)).alias("_term")).groupBy(query, "_term").agg(F.count(F.lit(1)).alias("_qtf"))
+    tokens = docs.select(F.col(doc), search_tokens(text).alias("_t"))
     n, mean = tokens.agg(F.count(F.lit(1)), F.avg(F.size("_t").cast("double"))).first()
-    if not n or not len(ids):
-        return docs.sparkSession.createDataFrame([], schema)
-    mean = mean or 1.0
-    terms = docs.sparkSession.createDataFrame([(t,) for t in vocabulary] or [("",)], "_term string")
-    held = tokens.select(F.explode(F.array_distinct("_t")).alias("_term")).join(F.broadcast(terms), "_term", "left_semi")
-    df = np.zeros(len(vocabulary))
-    for r in held.groupBy("_term").agg(F.count(F.lit(1)).alias("n")).collect():  # one row for each query term
-        df[place[r["_term"]]] = r["n"]
-    weight = np.zeros((len(ids), len(vocabulary)))
-    for i, r in enumerate(asked):
-        for t in r["_q"]:
-            weight[i, place[t]] += 1
-    weight = (weight * np.log((n - df + 0.5) / (df + 0.5) + 1)).T.copy()
-
-    def run(batches):
-        words = pa.array(vocabulary, pa.string())
-        for batch in (x.slice(lo, 256) for x in batches for lo in range(0, x.num_rows, 256)):
-            column = batch.column(1)
-            size = pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
-            term = pc.index_in(column.flatten(), words).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-            row = np.repeat(np.arange(len(size)), size)[term >= 0]
-            key, tf = np.unique(row * max(len(vocabulary), 1) + term[term >= 0], return_counts=True)
-            row, term = key // max(len(vocabulary), 1), key % max(len(vocabulary), 1)
-            dense = np.zeros((len(size), len(vocabulary)))
-            dense[row, term] = tf * (k1 + 1) / (tf + k1 * (1 - b + b * size[row] / mean))
-            yield pa.RecordBatch.from_pydict(pick(ids, batch.column(0).to_numpy(), half_up((dense @ weight).T)))
-
-    return tokens.mapInArrow(run, schema)
+    words = tokens.select(doc, F.size("_t").alias("_size"), F.explode("_t").alias("_term"))
+    held = words.join(asked.select("_term").distinct(), "_term", "left_semi").groupBy(doc, "_size", "_term").agg(F.count(F.lit(1)).alias("_tf"))
+    df = held.groupBy("_term").agg(F.count(F.lit(1)).alias("_df"))
+    idf = F.log((F.lit(n) - F.col("_df") + 0.5) / (F.col("_df") + 0.5) + 1)
+    weighed = asked.join(df, "_term").select(query, "_term", (F.col("_qtf") * idf).alias("_w"))
+    part = F.col("_w") * (F.col("_tf") * (k1 + 1)) / (F.col("_tf") + k1 * (1 - b + b * F.col("_size") / F.lit(float(mean or 1.0))))
+    return held.join(weighed, "_term").groupBy(query, doc).agg(F.round(F.sum(part), 6).alias("bm25"))
 
 
 def half_up(x: np.ndarray) -> np.ndarray:
@@ -170,8 +144,40 @@ def in_blocks(queries: DataFrame, rows: DataFrame, schema: str, reduce, block: i
     return dealt(queries, "query_id", "_high", high, "_wide", wide).cogroup(dealt(rows, "vec_id", "_wide", wide, "_high", high)).applyInPandas(run, schema)
 
 
-def fuse(scored: DataFrame, by: list[str], prior: str, lexical: str, alpha: float = 0.7) -> DataFrame:
-    return scored.withColumn("fused", alpha * minmax(F.col(prior), by) + (1 - alpha) * minmax(F.col(lexical), by))
+def scaled(score: Column, lo: Column, hi: Column) -> Column:
+    return F.when(hi - lo < 1e-12, 1.0).otherwise((score - lo) / (hi - lo))
+
+
+def fused(prior: Column, lexical: Column, alpha: float = 0.7, restricted: bool = False, sequential: bool = False) -> Column:
+    """The weighted sum of two scores from 0 to 1.  A lemma restriction lowers the weight of the prior to
+    one half; a sequential stage ranks by the lexical score alone."""
+    share = 0.0 if sequential else min(alpha, 0.5) if restricted else alpha
+    return share * prior + (1 - share) * lexical
+
+
+def fuse(scored: DataFrame, by: list[str], prior: str, lexical: str, alpha: float = 0.7, **how) -> DataFrame:
+    """Adds fused, after min-max normalisation within ``by``.  Bounds come from an aggregate, so that no
+    group is gathered."""
+    ends = scored.groupBy(*by).agg(*[f(c).alias(f"_{n}_{c}") for c in (prior, lexical) for n, f in (("lo", F.min), ("hi", F.max))])
+    one = lambda c: scaled(F.col(c), F.col(f"_lo_{c}"), F.col(f"_hi_{c}"))
+    return scored.join(ends, by).withColumn("fused", fused(one(prior), one(lexical), alpha, **how)).select(*scored.columns, "fused")
+
+
+def centroids(rows: DataFrame, vec: str, label: str) -> DataFrame:
+    """(label, centroid) by averages of each dimension; as many rows as there are classes."""
+    long = rows.where(F.col(vec).isNotNull()).select(label, F.posexplode(vec).alias("_i", "_v"))
+    mean = long.groupBy(label, "_i").agg(F.avg(F.col("_v").cast("double")).alias("_m"))
+    return mean.groupBy(label).agg(F.transform(F.sort_array(F.collect_list(F.struct("_i", "_m"))), lambda x: x["_m"]).alias("centroid"))
+
+
+def nearest_centroid(rows: DataFrame, id_col: str, vec: str, label: str) -> DataFrame:
+    """(id, label, score): the class of the nearest centroid for every row, ties to the smaller class.
+    All centroids travel as one array beside each row; classes are a closed vocabulary."""
+    lines = centroids(rows, vec, label).agg(F.sort_array(F.collect_list(F.struct(F.col(label).alias("l"), F.col("centroid").alias("c")))).alias("_all"))
+    scored = rows.where(F.col(vec).isNotNull()).select(id_col, vec).join(F.broadcast(lines))
+    each = F.transform("_all", lambda x: F.struct((-F.round(dot(F.col(vec), x["c"]), 6)).alias("s"), x["l"].alias("l")))
+    best = scored.select(id_col, F.array_min(each).alias("_b"))
+    return best.select(id_col, F.col("_b.l").alias(label), (-F.col("_b.s")).alias("score"))
 
 
 def lookup_level(exact_senses: Column, cosine: Column, rerank: Column) -> Column:
@@ -237,13 +243,33 @@ def hamming(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
-def hamming_join(prints: DataFrame, id_col: str, most: int) -> DataFrame:
-    """Pairs at Hamming distance ``most`` or less.  With more 64-bit words than ``most`` one word
-    must agree, so words are exact blocks; beyond that 16-bit pieces are used, of which one agrees
-    while ``most`` is below their number."""
-    pieces = F.flatten(F.transform("words", lambda w: F.array(*[F.shiftrightunsigned(w, 16 * i).bitwiseAND(F.lit(65535)) for i in range(4)])))
-    keyed = prints.select(F.col(id_col), "words", F.posexplode(pieces).alias("place", "piece"))
+def hamming_join(prints: DataFrame, id_col: str, most: int, bits: int = 516) -> DataFrame:
+    """All pairs (left_id, right_id, distance) at Hamming distance ``most`` or less, for ``most`` below the
+    number of whole 16-bit pieces, of which one must then agree.  Only ids meet by pieces; a pair's words
+    are fetched once.  Beyond that use ``hamming_search``."""
+    whole = bits // 64  # the last word is padded with zeros, which always agree
+    if most >= 4 * whole:
+        raise ValueError(f"pieces find all pairs only below {4 * whole} bits; ask hamming_search")
+    pieces = F.flatten(F.transform(F.slice("words", 1, whole), lambda w: F.array(*[F.shiftrightunsigned(w, 16 * i).bitwiseAND(F.lit(65535)) for i in range(4)])))
+    keyed = prints.select(F.col(id_col), F.posexplode(pieces).alias("place", "piece"))
     a, b = keyed.alias("a"), keyed.alias("b")
-    pairs = a.join(b, (F.col("a.place") == F.col("b.place")) & (F.col("a.piece") == F.col("b.piece")) & (F.col(f"a.{id_col}") < F.col(f"b.{id_col}")))
-    near = pairs.select(F.col(f"a.{id_col}").alias("left_id"), F.col(f"b.{id_col}").alias("right_id"), hamming(F.col("a.words"), F.col("b.words")).alias("distance"))
-    return near.where(F.col("distance") <= most).distinct()
+    met = a.join(b, (F.col("a.place") == F.col("b.place")) & (F.col("a.piece") == F.col("b.piece")) & (F.col(f"a.{id_col}") < F.col(f"b.{id_col}")))
+    pairs = met.select(F.col(f"a.{id_col}").alias("left_id"), F.col(f"b.{id_col}").alias("right_id")).distinct()
+    words = lambda side: prints.select(F.col(id_col).alias(f"{side}_id"), F.col("words").alias(f"_{side}"))
+    near = pairs.join(words("left"), "left_id").join(words("right"), "right_id")
+    return near.select("left_id", "right_id", hamming(F.col("_left"), F.col("_right")).alias("distance")).where(F.col("distance") <= most)
+
+
+def hamming_search(queries: DataFrame, prints: DataFrame, id_col: str, most: int, bits: int = 516) -> DataFrame:
+    """(query_id, id, distance): all fingerprints within ``most`` bits of each query's, the query itself
+    left out, at any distance: queries against all rows in blocks, as products of signs."""
+
+    def near(q, x, agree):
+        distance = np.rint((bits - agree) / 2).astype(np.int64)
+        i, j = np.nonzero((distance <= most) & (q["query_id"].to_numpy()[:, None] != x["vec_id"].to_numpy()))
+        return {"query_id": q["query_id"].to_numpy()[i], id_col: x["vec_id"].to_numpy()[j], "distance": distance[i, j]}
+
+    bit = lambda i: F.call_function("shiftrightunsigned", F.element_at("words", F.floor(i / 64).cast("int") + 1), (63 - i % 64).cast("int")).bitwiseAND(F.lit(1))
+    signs = F.transform(F.sequence(F.lit(0), F.lit(bits - 1)), lambda i: (2 * bit(i) - 1).cast("float"))
+    asked = queries.select(F.col(id_col).alias("query_id"), signs.alias("qv"))
+    return in_blocks(asked, prints.select(F.col(id_col).alias("vec_id"), signs.alias("embedding")), f"query_id long, {id_col} long, distance long", near)

@@ -32,7 +32,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 _TIER = "CASE label % 7 WHEN 0 THEN 'CORE_ONTOLOGY' WHEN 1 THEN 'CORE_KNOWLEDGE' WHEN 2 THEN 'LEXICAL_EXTENSION' WHEN 3 THEN 'CLAIMED' WHEN 4 THEN 'INFERRED' WHEN 5 THEN 'PROVISIONAL' ELSE 'GHOST' END"
 _BONUS = "CASE label % 7 WHEN 0 THEN 0.15 WHEN 1 THEN 0.10 WHEN 2 THEN 0.05 WHEN 3 THEN 0.0 WHEN 4 THEN -0.05 WHEN 5 THEN -0.10 ELSE -0.20 END"
-_PAIRS = """q AS (SELECT vec_id AS query_id, embedding AS qv, label AS ql FROM embeddings WHERE vec_id < 5),
+_PAIRS = """q AS (SELECT vec_id AS query_id, embedding AS qv, label AS ql FROM embeddings WHERE vec_id % 20 = 0),
 s AS (SELECT query_id, ql, vec_id, label, round(list_inner_product(qv::DOUBLE[], embedding::DOUBLE[]), 6) AS cosine FROM q, embeddings)"""
 
 
@@ -115,62 +115,66 @@ def margin_gate(spark, sf_dir):
 
 _MARKS = X.PUNCTUATION.replace("'", "''")
 _TOK = f"list_filter(string_split_regex(translate(lower(#TEXT#), '{_MARKS}', '{' ' * len(X.PUNCTUATION)}'), '\\s+'), lambda x: x <> '')"
-_BM25 = f"""c AS (SELECT b.item_id, d.doc_id, {_TOK.replace('#TEXT#', 'b.text')} AS q, {_TOK.replace('#TEXT#', 'd.text')} AS t FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id % 40),
-z AS (SELECT *, CAST(len(t) AS DOUBLE) AS size, count(*) OVER (PARTITION BY item_id) AS n, avg(CAST(len(t) AS DOUBLE)) OVER (PARTITION BY item_id) AS mean FROM c),
-u AS (SELECT item_id, doc_id, size, n, mean, q, t, unnest(list_distinct(q)) AS term FROM z),
-f AS (SELECT *, len(list_filter(t, lambda x: x = term)) AS tf, len(list_filter(q, lambda x: x = term)) AS qtf FROM u),
-h AS (SELECT *, count(*) OVER (PARTITION BY item_id, term) AS df FROM f WHERE tf > 0),
-g AS (SELECT item_id, doc_id, sum(qtf * ln((n - df + 0.5) / (df + 0.5) + 1) * (tf * 2.5) / (tf + 1.5 * (0.25 + 0.75 * size / mean))) AS bm25 FROM h GROUP BY ALL),
-s AS (SELECT c.item_id, c.doc_id, round(coalesce(bm25, 0), 6) AS bm25 FROM c LEFT JOIN g USING (item_id, doc_id))"""
-
-
-def _lexical(spark, sf_dir, schema, pick):
-    """Every benchmark item against every document, statistics over all documents."""
+_BM25 = f"""t AS (SELECT doc_id, {_TOK.replace('#TEXT#', "coalesce(text, '')")} AS t FROM documents),
+z AS (SELECT count(*) AS n, avg(CAST(len(t) AS DOUBLE)) AS mean FROM t),
+q AS (SELECT item_id, term, CAST(count(*) AS DOUBLE) AS qtf FROM (SELECT item_id, unnest({_TOK.replace('#TEXT#', 'text')}) AS term FROM benchmark) GROUP BY ALL),
+p AS (SELECT doc_id, size, term, CAST(count(*) AS DOUBLE) AS tf FROM (SELECT doc_id, CAST(len(t) AS DOUBLE) AS size, unnest(t) AS term FROM t) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+g AS (SELECT item_id, doc_id, round(sum(qtf * ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1) * (tf * 2.5::DOUBLE) / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * size / mean))), 6) AS bm25 FROM q JOIN p USING (term) JOIN f USING (term), z GROUP BY ALL),
+s AS (SELECT i.item_id, d.doc_id, coalesce(g.bm25, 0) AS bm25 FROM benchmark i CROSS JOIN documents d LEFT JOIN g ON g.item_id = i.item_id AND g.doc_id = d.doc_id)"""
+
+
+def _lexical(spark, sf_dir, k):
+    """(documents that hold a term of an item with their score, and with the rest that can be among the
+    best k).  What holds no term scores 0, and of that only the k smallest ids can come so far, since
+    whatever has a smaller id is at least as good."""
     b, d = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
-    return retrieval.bm25_over_all(b, d, "item_id", "doc_id", F.col("text"), F.col("text"), schema, pick)
+    hits = retrieval.bm25(b, d, "item_id", "doc_id", F.col("text"), F.col("text"))
+    low = d.select("doc_id").orderBy("doc_id").limit(k)  # k rows
+    rest = b.select("item_id").join(F.broadcast(low)).join(hits, ["item_id", "doc_id"], "left_anti").select("item_id", "doc_id", F.lit(0.0).alias("bm25"))
+    return hits, hits.unionByName(rest)
 
 
 @query(f"WITH {_BM25}, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY bm25 DESC, doc_id) AS INTEGER) AS rank FROM s) SELECT * FROM r WHERE rank <= 5")
 def bm25_topk(spark, sf_dir):
     """BM25 of every benchmark item over all documents."""
+    return retrieval.top_k(_lexical(spark, sf_dir, 5)[1], ["item_id"], "bm25", "doc_id", 5)
 
-    def pick(items, docs, scores):
-        i, j = retrieval.best_places(scores, docs, 5)
-        return {"item_id": items[i], "doc_id": docs[j], "bm25": scores[i, j]}
-
-    return retrieval.top_k(_lexical(spark, sf_dir, "item_id long, doc_id long, bm25 double", pick), ["item_id"], "bm25", "doc_id", 5)
 
-
-@query(f"""WITH {_BM25}, p AS (SELECT *, 1.0 / (1 + doc_id) AS prior FROM s),
+_FUSED = f"""WITH {_BM25}, x AS (SELECT *, 1.0::DOUBLE / (1 + doc_id) AS prior FROM s),
 m AS (SELECT *, CASE WHEN max(bm25) OVER w - min(bm25) OVER w < 1e-12 THEN 1.0 ELSE (bm25 - min(bm25) OVER w) / (max(bm25) OVER w - min(bm25) OVER w) END AS zb,
-  CASE WHEN max(prior) OVER w - min(prior) OVER w < 1e-12 THEN 1.0 ELSE (prior - min(prior) OVER w) / (max(prior) OVER w - min(prior) OVER w) END AS zp FROM p WINDOW w AS (PARTITION BY item_id)),
-v AS (SELECT item_id, doc_id, round(0.7 * zp + 0.3 * zb, 6) AS fused FROM m),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY fused DESC, doc_id) AS INTEGER) AS rank FROM v) SELECT * FROM r WHERE rank <= 5""")
-def bm25_fused(spark, sf_dir):
-    """Weighted fusion of a prior and BM25 after min-max normalisation."""
+  CASE WHEN max(prior) OVER w - min(prior) OVER w < 1e-12 THEN 1.0 ELSE (prior - min(prior) OVER w) / (max(prior) OVER w - min(prior) OVER w) END AS zp FROM x WINDOW w AS (PARTITION BY item_id)),
+v AS (SELECT item_id, doc_id, round(#A# * zp + (1 - #A#) * zb, 6) AS fused FROM m),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY fused DESC, doc_id) AS INTEGER) AS rank FROM v) SELECT * FROM r WHERE rank <= 5"""
+
 
-    def ends(items, docs, scores):
-        return {"item_id": items, "lo": scores.min(1), "hi": scores.max(1)}
+def _fused(spark, sf_dir, **how):
+    hits, s = _lexical(spark, sf_dir, 5)
+    n, first, last = table(spark, sf_dir, "documents").agg(F.count("doc_id"), F.min("doc_id"), F.max("doc_id")).first()
+    if not n:
+        return retrieval.top_k(s.select("item_id", "doc_id", F.col("bm25").alias("fused")), ["item_id"], "fused", "doc_id", 5)
+    # of all documents: those without a term have 0
+    ends = hits.groupBy("item_id").agg(F.when(F.count(F.lit(1)) == n, F.min("bm25")).otherwise(0.0).alias("lo"), F.max("bm25").alias("hi"))
+    lexical = retrieval.scaled(F.col("bm25"), F.coalesce("lo", F.lit(0.0)), F.coalesce("hi", F.lit(0.0)))
+    prior = retrieval.scaled(1.0 / (1 + F.col("doc_id")), F.lit(1.0 / (1 + last)), F.lit(1.0 / (1 + first)))
+    f = s.join(ends, "item_id", "left").select("item_id", "doc_id", F.round(retrieval.fused(prior, lexical, **how), 6).alias("fused"))
+    return retrieval.top_k(f, ["item_id"], "fused", "doc_id", 5)
 
-    found = _lexical(spark, sf_dir, "item_id long, lo double, hi double", ends).groupBy("item_id").agg(F.min("lo"), F.max("hi"))
-    bounds = {r[0]: (r[1], r[2]) for r in found.collect()}  # one row for each item
-    first, last = table(spark, sf_dir, "documents").agg(F.min("doc_id"), F.max("doc_id")).first()
 
-    def scaled(x, lo, hi):
-        return np.where(hi - lo < 1e-12, 1.0, (x - lo) / np.where(hi - lo < 1e-12, 1.0, hi - lo))
+@query(_FUSED.replace("#A#", "0.7::DOUBLE"))
+def bm25_fused(spark, sf_dir):
+    """Weighted fusion of a prior and BM25 after min-max normalisation over all documents."""
+    return _fused(spark, sf_dir)
 
-    def pick(items, docs, scores):
-        lo, hi = np.array([bounds[i] for i in items.tolist()]).T[:, :, None]
-        prior = scaled(1.0 / (1 + docs), 1.0 / (1 + last), 1.0 / (1 + first))
-        fused = retrieval.half_up(0.7 * prior + (1 - 0.7) * scaled(scores, lo, hi))
-        i, j = retrieval.best_places(fused, docs, 5)
-        return {"item_id": items[i], "doc_id": docs[j], "fused": fused[i, j]}
 
-    return retrieval.top_k(_lexical(spark, sf_dir, "item_id long, doc_id long, fused double", pick), ["item_id"], "fused", "doc_id", 5).select("item_id", "doc_id", "fused", "rank")
+@query(_FUSED.replace("#A#", "0.5::DOUBLE"))
+def bm25_fused_restricted(spark, sf_dir):
+    """Fusion as a lemma restriction asks for: both scores count alike."""
+    return _fused(spark, sf_dir, restricted=True)
 
 
-@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id < 5),
-s AS (SELECT query_id, vec_id, round(list_inner_product(qv::DOUBLE[], embedding::DOUBLE[]), 6) AS cosine FROM q JOIN embeddings ON vec_id <> query_id AND vec_id >= 5),
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id % 20 = 0),
+s AS (SELECT query_id, vec_id, round(list_inner_product(qv::DOUBLE[], embedding::DOUBLE[]), 6) AS cosine FROM q JOIN embeddings ON vec_id <> query_id),
 b AS (SELECT query_id, max(cosine) AS cosine FROM s GROUP BY query_id),
 e AS (SELECT CAST(query_id AS BIGINT) AS query_id, count(*) AS senses FROM b JOIN part ON p_size = query_id GROUP BY query_id)
 SELECT b.query_id, cosine, CASE WHEN coalesce(senses, 0) = 1 THEN 1 WHEN cosine >= 0.80 THEN 2 WHEN cosine >= 0.65 THEN 3 ELSE 4 END AS level FROM b LEFT JOIN e USING (query_id)""")
@@ -190,12 +194,12 @@ def batch_search(spark, sf_dir):
     return retrieval.best_or_empty(queries.select("query_id").distinct(), hits.select("query_id", "vec_id", "cosine"), "query_id", "cosine", "vec_id")
 
 
-@query("""WITH k AS (SELECT DISTINCT lower(p_name) AS c FROM part WHERE p_size < 20)
+@query("""WITH k AS (SELECT DISTINCT lower(p_name) AS c FROM part)
 SELECT p_partkey, c AS compound FROM part, k WHERE contains(' ' || lower(p_name || ' ' || p_type) || ' ', ' ' || c || ' ')""")
 def known_compounds(spark, sf_dir):
     """Word pairs and triples of a text that are known lemmas."""
     part = table(spark, sf_dir, "part")
-    return retrieval.known_compounds(part, "p_partkey", F.concat_ws(" ", "p_name", "p_type"), part.where("p_size < 20").select(F.col("p_name").alias("lemma")), "lemma")
+    return retrieval.known_compounds(part, "p_partkey", F.concat_ws(" ", "p_name", "p_type"), part.select(F.col("p_name").alias("lemma")), "lemma")
 
 
 def _parts(c):
@@ -218,9 +222,9 @@ def slot_overlap(spark, sf_dir):
 
 @query()
 def fingerprint_hamming(spark, sf_dir):
-    """Vectors whose 516-bit fingerprints differ in at most 185 places and share a 16-bit piece."""
+    """For every twentieth vector all others whose 516-bit fingerprints differ in at most 185 places."""
     prints = retrieval.fingerprints(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
-    return retrieval.hamming_join(prints, "vec_id", 185)
+    return retrieval.hamming_search(prints.where("vec_id % 20 = 0"), prints, "vec_id", 185)
 
 
 # ---------------------------------------------------------------- lexicon
@@ -267,7 +271,7 @@ def centrality(spark, sf_dir):
 def priority_min_case(spark, sf_dir):
     """Work selection: groups of enough members with their most urgent state."""
     urgent = F.when(F.col("o_orderstatus") == "O", 1).when(F.col("o_orderstatus") == "P", 2).otherwise(3)
-    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("orders"), F.min(urgent).alias("priority")).where("orders >= 5")
+    return lexicon.urgent_groups(table(spark, sf_dir, "orders"), ["o_custkey"], urgent, 5).withColumnRenamed("n", "orders")
 
 
 @query("""WITH s AS (SELECT p_partkey, p_brand, p_type, p_name FROM part)
@@ -290,25 +294,26 @@ def anti_join_dedup(spark, sf_dir):
     return claims.insert_absent(old, table(spark, sf_dir, "orders"), ["o_orderkey"], "o_custkey").select("o_orderkey", "o_custkey")
 
 
-@query()
-def porter_stems(spark, sf_dir):
-    """Stems of the distinct words of part names and types."""
-    words = table(spark, sf_dir, "part").select(F.explode(X.search_tokens(F.concat_ws(" ", "p_name", "p_type"))).alias("word")).distinct()
-    return words.withColumn("stem", X.stem("word"))
-
-
-@query()
-def alias_rules(spark, sf_dir):
-    """All ways to write a part's name."""
-    return table(spark, sf_dir, "part").select("p_partkey", F.explode(X.alias_forms("p_name")).alias("alias"))
+_STOPS = ", ".join(f"'{w}'" for w in lexicon.STOP)
 
 
-@query()
+@query(f"""WITH e AS (SELECT p_partkey AS entry_id, lower(p_type) AS lemma, list_filter(regexp_extract_all(lower(p_name || ' ' || p_brand || ' ' || p_size || 'mm'), '[a-z0-9]+'), lambda x: len(x) >= 2 AND x <> lower(p_type) AND x NOT IN ({_STOPS})) AS words FROM part),
+c AS (SELECT lemma, CASE WHEN count(*) <= 1 THEN 2 WHEN count(*) <= 3 THEN 3 WHEN count(*) <= 9 THEN 4 WHEN count(*) <= 19 THEN 5 ELSE 6 END AS budget FROM e GROUP BY 1),
+n AS (SELECT e.*, array_to_string(words[1:least(budget, 2)], '_') AS base FROM e JOIN c USING (lemma)),
+k AS (SELECT lemma, base FROM n GROUP BY ALL HAVING count(*) > 1), x AS (SELECT entry_id, lemma, base, unnest(words) AS word, unnest(generate_series(0, len(words) - 1)) AS pos FROM n JOIN k USING (lemma, base)),
+h AS (SELECT lemma, base, word, count(*) - 1 AS others FROM x GROUP BY ALL),
+s AS (SELECT x.*, least(len(word) / 10.0::DOUBLE, 2.0::DOUBLE) - 5 * others + CASE WHEN regexp_matches(word, '[0-9]') THEN 1 ELSE 0 END - CASE WHEN len(word) <= 3 THEN 1 ELSE 0 END AS score, list_contains(string_split(base, '_'), word) AS inside FROM x JOIN h USING (lemma, base, word)),
+r AS (SELECT *, row_number() OVER (PARTITION BY entry_id ORDER BY score DESC, len(word) DESC, word) AS k, row_number() OVER (PARTITION BY entry_id ORDER BY inside, pos) AS p FROM s),
+m AS (SELECT entry_id, list(word ORDER BY k) FILTER (k <= 2 AND score > -3 AND NOT inside) AS best, list(word ORDER BY p) FILTER (NOT inside AND p <= 2) AS rest FROM r GROUP BY 1),
+f AS (SELECT n.*, concat_ws('_', base, NULLIF(array_to_string(CASE WHEN len(coalesce(best, [])) > 0 THEN best ELSE coalesce(rest, []) END, '_'), '')) AS fresh FROM n LEFT JOIN m USING (entry_id)),
+u AS (SELECT *, row_number() OVER (PARTITION BY lemma, base, fresh ORDER BY entry_id) AS k FROM f)
+SELECT entry_id, lemma, CASE WHEN k = 1 THEN fresh ELSE base || '_' || left(sha1(CAST(entry_id AS VARCHAR)), 4) END AS microgloss FROM u""".replace("least(budget, 2)", "budget"))
 def microglosses(spark, sf_dir):
-    """Distinct glosses and canonical ids of parts as senses of their type's last word."""
+    """Distinct glosses of parts as senses of their type."""
     part = table(spark, sf_dir, "part")
-    entries = part.select(F.col("p_partkey").alias("entry_id"), F.lower(F.element_at(F.split("p_type", " "), -1)).alias("lemma"), F.concat_ws(" ", "p_name", "p_brand").alias("gloss"), F.lit("NOUN").alias("pos_ud"), F.lit("wordnet").alias("source_type"))
-    return lexicon.distinct_glosses(entries)
+    gloss = F.concat(F.concat_ws(" ", "p_name", "p_brand", "p_size"), F.lit("mm"))
+    entries = part.select(F.col("p_partkey").alias("entry_id"), F.lower("p_type").alias("lemma"), gloss.alias("gloss"), F.lit("NOUN").alias("pos_ud"), F.lit("wordnet").alias("source_type"))
+    return lexicon.distinct_glosses(entries).select("entry_id", "lemma", "microgloss")
 
 
 # ---------------------------------------------------------------- claims
@@ -371,7 +376,7 @@ def participant_test(spark, sf_dir):
 def range_cover(spark, sf_dir):
     """Does each brand's range of sizes contain the range asked for?"""
     s = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.min("p_size").alias("lo"), F.max("p_size").alias("hi"))
-    return s.withColumn("covers", (F.col("lo") <= 5) & (F.col("hi") >= 40))
+    return s.withColumn("covers", claims.range_covers(F.col("lo"), F.col("hi"), F.lit(5), F.lit(40)))
 
 
 @query("""SELECT * FROM (SELECT user_id, event_id AS source, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS target, 'PRECEDES' AS link_type FROM events) WHERE target IS NOT NULL""")
@@ -425,8 +430,7 @@ round(count_if(quality IS NULL) / CAST(count(*) AS DOUBLE), 6) AS oov, count_if(
 def coverage_report(spark, sf_dir):
     """How much of each source is covered, and whether the gate halts it."""
     j = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    oov = F.count_if(F.col("quality").isNull()) / F.count(F.lit(1))
-    return j.groupBy("source").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("quality").isNotNull()).alias("matched"), F.count_if(F.col("quality").isNull()).alias("minted"), F.count_if(F.coalesce("toxic", F.lit(0)) == 1).alias("snapped"), F.round(oov, 6).alias("oov"), (oov > 0.6).alias("halts"))
+    return claims.coverage(j, ["source"], F.col("quality").isNotNull(), F.col("toxic") == 1, 0.6)
 
 
 _STATUS = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "conversations"]
@@ -434,17 +438,13 @@ _STATUS = ["region", "nation", "customer", "supplier", "part", "orders", "lineit
 
 @query(" UNION ALL ".join(f"SELECT '{t}' AS item, count(*) AS n FROM {t}" for t in _STATUS))
 def store_status(spark, sf_dir):
-    out = None
-    for t in _STATUS:
-        one = table(spark, sf_dir, t).agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("item"), "n")
-        out = one if out is None else out.unionByName(one)
-    return out
+    return claims.row_counts({t: table(spark, sf_dir, t) for t in _STATUS})
 
 
 @query("SELECT user_id, arg_max(value, (ts, event_id)) AS value, max(ts) AS ts FROM events GROUP BY user_id")
 def last_value_snapshot(spark, sf_dir):
     """The last value for each entity of an event store."""
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by("value", F.struct("ts", "event_id")).alias("value"), F.max("ts").alias("ts"))
+    return claims.last_values(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], ["value", "ts"])
 
 
 @query("""SELECT event_type, count(*) AS n, round(sum(value * exp(-ln(2.0) * date_diff('day', CAST(ts AS DATE), DATE '2030-01-01') / 365.0)), 4) AS weight FROM events GROUP BY event_type""")
@@ -460,8 +460,8 @@ def discovered_edges(spark, sf_dir):
     """Types that occur together for five users or more; promoted at ten.  Pairs are made from each
     user's few distinct types, not from events."""
     types = table(spark, sf_dir, "events").groupBy("user_id").agg(F.sort_array(F.collect_set("event_type")).alias("t"))
-    pairs = types.select("user_id", F.posexplode("t").alias("i", "left_type"), "t").select("left_type", F.explode(F.expr("slice(t, i + 2, size(t))")).alias("right_type"))
-    return pairs.groupBy("left_type", "right_type").agg(F.count(F.lit(1)).alias("contexts")).where("contexts >= 5").withColumn("promoted", F.col("contexts") >= 10)
+    pairs = types.select("user_id", F.posexplode("t").alias("i", "left_type"), "t").select("user_id", "left_type", F.explode(F.expr("slice(t, i + 2, size(t))")).alias("right_type"))
+    return claims.discovered(pairs, "left_type", "right_type", "user_id")
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_totalprice >= 200000 THEN 'canonical' WHEN o_totalprice >= 100000 THEN 'provisional' WHEN o_orderdate >= TIMESTAMP '1998-01-01' THEN 'candidate' ELSE 'expired' END AS tier FROM orders""")
