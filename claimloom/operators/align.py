@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.model import CONFIDENCE
+from claimloom.model import CONFIDENCE, ROLES
 
 # Factors to SI units.
 UNITS = {
@@ -61,3 +61,37 @@ def report(slots: DataFrame, threshold: float = 1.0) -> DataFrame:
     row = F.struct("slot", "result", "score")
     grouped = slots.groupBy("left_id", "right_id").agg(F.avg("score").alias("overall"), F.bool_and(F.col("score") >= threshold).alias("complies"), F.sort_array(F.collect_list(row)).alias("trace"))
     return grouped.withColumn("gaps", F.transform(F.filter("trace", lambda s: s["score"] < threshold), lambda s: s["slot"])).withColumn("confidence", confidence(F.col("overall")))
+
+
+#: The 18 slots of a concept: what it is, what it consists of, its roles, and its constraints.
+SLOTS = ["IS_A", "HAS_PART", *ROLES, "HAS_CONSTRAINT"]
+
+
+def slot_holds(operator: Column, need: Column, have: Column) -> Column:
+    """Does a slot's logical expression hold over the fillers on the other side?  AND is the default;
+    XOR wants exactly one, NOT none."""
+    hits = F.size(F.array_intersect(need, have))
+    return F.when(operator == "OR", hits > 0).when(operator == "XOR", hits == 1).when(operator == "NOT", hits == 0).otherwise(hits == F.size(F.array_distinct(need)))
+
+
+def align(left: DataFrame, right: DataFrame, pairs: DataFrame, both_ways: bool = False, grounded: DataFrame | None = None) -> DataFrame:
+    """(left_id, right_id, aligned, checked, failed): concepts (id, slot, operator, fillers) that agree.
+
+    Only slots that both sides fill must agree, and only the 18 known ones count; ``both_ways`` asks the
+    same from right to left; with ``grounded`` (id) a pair aligns only where both are grounded."""
+
+    def one_way(a: DataFrame, b: DataFrame, x: str, y: str) -> DataFrame:
+        l = pairs.join(a.where(F.col("slot").isin(SLOTS)).select(F.col("id").alias(x), "slot", F.col("operator").alias("_o"), F.col("fillers").alias("_need")), x)
+        r = b.where(F.size("fillers") > 0).select(F.col("id").alias(y), "slot", F.col("fillers").alias("_have"))
+        return l.where(F.size("_need") > 0).join(r, [y, "slot"]).select("left_id", "right_id", "slot", slot_holds(F.coalesce("_o", F.lit("AND")), F.col("_need"), F.col("_have")).alias("holds"))
+
+    held = one_way(left, right, "left_id", "right_id")
+    if both_ways:
+        held = held.unionByName(one_way(right, left, "right_id", "left_id"))
+    rows = held.groupBy("left_id", "right_id").agg(F.count_distinct("slot").alias("checked"), F.array_sort(F.collect_set(F.when(~F.col("holds"), F.col("slot")))).alias("failed"))
+    out = pairs.join(rows, ["left_id", "right_id"], "left").withColumn("checked", F.coalesce("checked", F.lit(0))).withColumn("failed", F.coalesce("failed", F.array().cast("array<string>")))
+    out = out.withColumn("aligned", F.size("failed") == 0)
+    for side in ("left_id", "right_id") if grounded is not None else ():
+        known = grounded.select(F.col("id").alias(side), F.lit(True).alias("_g")).distinct()
+        out = out.join(known, side, "left").withColumn("aligned", F.col("aligned") & F.coalesce("_g", F.lit(False))).drop("_g")
+    return out.select("left_id", "right_id", "aligned", "checked", "failed")

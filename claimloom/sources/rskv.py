@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -14,6 +15,7 @@ ROW_MARK = "---ROW---"
 NULL_MARK = "\\N"
 TYPES = {"str": "string", "int": "bigint", "float": "double", "bool": "boolean", "date": "date", "datetime": "timestamp", "json": "string", "base64": "binary"}
 
+_EXTENSION = re.compile(r"#([A-Z]+):\s*(.*)")
 _ESCAPE = re.compile(r"\\---ROW---|\\[\\n#]|\\.")
 _DECODED = {"\\---ROW---": ROW_MARK, "\\\\": "\\", "\\n": "\n", "\\#": "#"}
 
@@ -38,10 +40,31 @@ def decode(value: str, strict: bool = False) -> str | None:
     return _ESCAPE.sub(one, value)
 
 
-def records(lines, strict: bool = False, most_length: int | None = None):
+def _unpacked(value: str | None, how: list[str]) -> str | None:
+    """A value as its set's #ENCODE and #COMPRESS say: base64, then zlib or gzip."""
+    import base64
+    import zlib
+
+    if value is None or not how:
+        return value
+    raw = base64.b64decode(value, validate=True)
+    if any(h in ("zlib", "gzip", "deflate") for h in how):
+        raw = zlib.decompress(raw, 47)
+    return raw.decode()
+
+
+# Directives that describe a set; they are kept with its metadata.
+EXTENSIONS = ("INDEX", "ENCODE", "COMPRESS", "VALIDATE", "PROVENANCE", "ENCRYPT")
+
+
+def records(lines, strict: bool = False, most_length: int | None = None, lax: bool = False):
     """(set, position, schema, meta, record) for each record; a record is a dict in which null,
     empty and missing stay apart.  Repeated sets append; unknown directives are skipped unless
-    ``strict``.  ``#CONTINUE: key`` appends a line to a value of the record at hand."""
+    ``strict``.  ``#CONTINUE: key`` appends a line to a value of the record at hand.
+
+    Directives of ``EXTENSIONS`` stand in the set's metadata; values of keys that #ENCODE names are
+    unpacked, what an #ENCRYPT names stays as it is.  ``lax`` also takes "key=value" lines and records
+    before any set, as a set without a name, and keeps what it cannot unpack."""
     name: str | None = None
     schema: dict[str, str] = {}
     meta: dict[str, str] = {}
@@ -59,7 +82,9 @@ def records(lines, strict: bool = False, most_length: int | None = None):
     for number, line in enumerate(lines):
         line = line.rstrip("\r\n")
         if number == 0:
-            line = line.removeprefix("﻿")
+            line = line.removeprefix("\ufeff")
+            if lax:
+                name = ""
         if most_length and len(line) > most_length:
             raise RskvError(f"line {number + 1} is too long")
         if line.startswith("#SET: "):
@@ -83,6 +108,8 @@ def records(lines, strict: bool = False, most_length: int | None = None):
         elif line.startswith("#META:"):
             key, _, value = line[6:].strip().partition(": ")
             meta[key.strip()] = value
+        elif line.startswith("#") and (m := _EXTENSION.match(line)) and m.group(1) in EXTENSIONS:
+            meta[m.group(1).lower()] = m.group(2)
         elif line.startswith("#CONTINUE: "):
             key, mark, value = line[11:].partition(": ")
             if mark and row.get(key.strip()) is not None:
@@ -95,13 +122,34 @@ def records(lines, strict: bool = False, most_length: int | None = None):
             key, begun = key.strip(), True
             if strict and key in row:
                 raise RskvError(f"duplicate key {key}")
+            how = [p.split(":")[1] for d in ("encode", "compress") for p in meta.get(d, "").replace(" ", "").split(",") if p.partition(":")[0] == key and ":" in p]
             row[key] = decode(value, strict)
+            try:
+                row[key] = _unpacked(row[key], how)
+            except ValueError as e:
+                if strict:
+                    raise RskvError(f"cannot unpack {key}: {e}") from e
+        elif lax and "=" in line:
+            key, _, value = line.partition("=")
+            row[key.strip()] = decode(value.strip())
     yield from close()
 
 
+def invalid(record: dict, rules: str) -> list[str]:
+    """Keys that break a set's #VALIDATE rules: "key:required" or "key:/pattern/", by commas."""
+    out = []
+    for rule in filter(None, map(str.strip, rules.split(","))):
+        key, _, test = rule.partition(":")
+        value = record.get(key)
+        if test == "required" and value is None or test[:1] == test[-1:] == "/" and value is not None and not re.fullmatch(test[1:-1], value):
+            out.append(key)
+    return out
+
+
 class RskvSource(DataSource):
-    """``spark.read.format("rskv").option("paths", "a.rskv,b.rskv").load()``; option mode: permissive
-    or strict."""
+    """``spark.read.format("rskv").option("paths", "a.rskv,b.rskv").load()``; option mode: permissive,
+    strict or lax.  Files are read line by line, where executors can open their paths; other files go
+    through ``parse_column``."""
 
     @classmethod
     def name(cls) -> str:
@@ -122,28 +170,58 @@ class _File(InputPartition):
 class _Reader(DataSourceReader):
     def __init__(self, options):
         self.paths = [p for p in (options.get("paths") or options.get("path") or "").split(",") if p]
-        self.strict = options.get("mode", "permissive") == "strict"
+        self.mode = options.get("mode", "permissive")
 
     def partitions(self):
         return [_File(p) for p in self.paths]
 
     def read(self, partition):
         with open(partition.path, encoding="utf-8", newline="\n") as lines:
-            for row in records(lines, self.strict):
+            for row in records(lines, self.mode == "strict", lax=self.mode == "lax"):
                 yield (partition.path, *row)
 
 
-def parse_column(text: Column) -> Column:
+_RECORDS = "array<struct<set:string,position:bigint,declared:map<string,string>,meta:map<string,string>,record:map<string,string>>>"
+
+
+def parse_column(text: Column, mode: str = "permissive") -> Column:
     """Records of whole texts, for files that only Spark can open: read them with
     ``spark.read.text(path, wholetext=True)``."""
 
-    @F.udf("array<struct<set:string,position:bigint,declared:map<string,string>,meta:map<string,string>,record:map<string,string>>>")
-    def parse(value):
-        return [] if value is None else [dict(zip(("set", "position", "declared", "meta", "record"), r)) for r in records(value.split("\n"))]
+    @F.pandas_udf(_RECORDS)
+    def parse(values: pd.Series) -> pd.Series:
+        read = lambda t: [dict(zip(("set", "position", "declared", "meta", "record"), r)) for r in records(t.split("\n"), mode == "strict", lax=mode == "lax")]
+        return values.map(lambda t: [] if t is None else read(t))
 
     return parse(text)
 
 
+def read_files(spark: SparkSession, path: str, mode: str = "permissive") -> DataFrame:
+    """Records of all files under a path that Spark can open: file, set, position, declared, meta,
+    record."""
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    return raw.select("file", F.explode(parse_column(F.col("value"), mode)).alias("r")).select("file", "r.*")
+
+
+def declared_types(rows: DataFrame, name: str) -> dict[str, str]:
+    """Columns of a set and their types, as its first record declares them, by name; keys without a
+    type come after and are text.  One row reaches the driver."""
+    first = rows.where(F.col("set") == name).agg(F.min_by(F.struct("declared", F.map_keys("record").alias("keys")), "position").alias("f")).first()["f"]
+    told = {} if first is None else first["declared"] or {}
+    return {} if first is None else {k: told.get(k, "str") for k in [*sorted(told), *sorted(set(first["keys"]) - set(told))]}
+
+
+def as_table(rows: DataFrame, name: str) -> DataFrame:
+    """One set as a table with the columns that it declares."""
+    return typed(rows.where(F.col("set") == name), declared_types(rows, name)).drop("set", "record")
+
+
+def stream_lines(spark: SparkSession, path: str, schema: str = "value string") -> DataFrame:
+    """Files as they arrive, for incremental reading: each whole, parsed like any other text."""
+    raw = spark.readStream.schema(schema).text(path, wholetext=True)
+    return raw.select(F.explode(parse_column(F.col("value"))).alias("r")).select("r.*")
+
+
 def typed(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Columns of records by declared types; what cannot be read as its type is null, and its raw
     text stays in ``record``."""

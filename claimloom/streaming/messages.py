@@ -99,3 +99,14 @@ def snapshot_sink(path: str, keys: list[str], at: str):
         rows.write.mode("overwrite").parquet(f"{path}/v={epoch}")
 
     return upsert
+
+
+def against_current(path: str, keys: list[str], out: str):
+    """A foreachBatch function: each batch meets a table as it is at that time, which other jobs may
+    replace meanwhile; a repeated batch writes over its own results."""
+
+    def step(batch: DataFrame, epoch: int) -> None:
+        table = batch.sparkSession.read.parquet(path)  # read anew for every batch
+        batch.join(table, keys, "left").write.mode("overwrite").parquet(f"{out}/v={epoch}")
+
+    return step

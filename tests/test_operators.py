@@ -6,9 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from claimloom import model
-from claimloom.functions import framing
+from claimloom.functions import answers, framing
 from claimloom.functions import text as X
-from claimloom.operators import align, claims, documents, govern, graph, lexicon, retrieval
+from claimloom.operators import align, claims, documents, govern, graph, lexicon, lookup, patterns, retrieval
+from claimloom.plans import pattern_queries
 
 
 def one(spark, *columns):
@@ -25,13 +26,16 @@ def test_stems_published_examples():
         assert X.porter_stem(word) == want
 
 
-def test_aliases():
-    assert {"jr. martin luther king", "martin luther king", "mlkj"} <= set(X.aliases("Martin Luther King, Jr."))
-    assert X.aliases("C++") == ["c++", "cplusplus"]
-    assert {"united states of america", "usa"} <= set(X.aliases("United States of America"))
-    assert {"obrien", "o'brien"} <= set(X.aliases("O'Brien")) and {"long term", "longterm"} <= set(X.aliases("long-term"))
-    assert X.aliases("cliché") == ["cliche"] and X.aliases("x") == [] and X.aliases(None) == []
-    assert "beatles" in X.aliases("The Beatles") and "us" in X.aliases("U.S.")
+def test_aliases(spark):
+    names = ["Martin Luther King, Jr.", "C++", "United States of America", "O'Brien", "long-term", "cliché", "x", None, "The Beatles", "U.S."]
+    rows = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, n string").select("i", X.alias_forms("n").alias("a")).orderBy("i").collect()
+    king, c, usa, brien, long, cliche, x, none, beatles, us = (r.a for r in rows)
+    assert {"jr. martin luther king", "martin luther king", "mlkj"} <= set(king)
+    assert c == ["c++", "cplusplus"]
+    assert {"united states of america", "usa"} <= set(usa)
+    assert {"obrien", "o'brien"} <= set(brien) and {"long term", "longterm"} <= set(long)
+    assert cliche == ["cliche"] and x == [] and none == []
+    assert "beatles" in beatles and "us" in us
 
 
 def test_text_columns(spark):
@@ -142,6 +146,12 @@ def test_fingerprints(spark):
     assert all(len(r.fingerprint) == 86 and len(r.words) == 9 for r in rows)
     near = [(r.left_id, r.right_id) for r in retrieval.hamming_join(prints, "id", 30).collect()]
     assert near == [(1, 2)]
+    a, b = prints.alias("a"), prints.alias("b")
+    want = {(r[0], r[1]): r[2] for r in a.join(b, F.col("a.id") != F.col("b.id")).select("a.id", "b.id", retrieval.hamming(F.col("a.words"), F.col("b.words"))).collect()}
+    found = retrieval.hamming_search(prints, prints, "id", 516)
+    assert {(r.query_id, r.id): r.distance for r in found.collect()} == want and len(want) == 6
+    with pytest.raises(ValueError):
+        retrieval.hamming_join(prints, "id", 185)
 
 
 # ---------------------------------------------------------------- graphs
@@ -273,3 +283,100 @@ def test_model_checks(spark):
     assert model.dangling(df, "role", df.where("role = 'HAS_AGENT'"), "role").count() == 1
     r = one(spark, model.tier_rank(F.lit("CLAIMED")).alias("a"), model.tier_rank(F.lit("raw")).alias("b"), model.tier_rank(F.lit("?")).alias("c"), model.tier_bonus(F.lit("GHOST")).alias("d"))
     assert tuple(r) == (4, 99, 99, -0.2)
+
+
+# ---------------------------------------------------------------- lookup, policies, stages
+
+
+def test_policies_and_configuration(spark, tmp_path):
+    f = tmp_path / "p.toml"
+    f.write_text('[policies.strict]\nmin_tier = "CORE_ONTOLOGY"\nk = 3\n[policies.snap_to_standard]\nalpha = 0.4\n')
+    named = lookup.policies(str(f))
+    assert named["strict"].least_rank() == 1 and named["strict"].k == 3 and named["snap_to_standard"].alpha == 0.4 and named["snap_to_standard"].min_tier == "LEXICAL_EXTENSION"
+    assert lookup.load_config([str(tmp_path / "none"), str(f)])["policies"]["strict"]["k"] == 3 and lookup.load_config([]) == {}
+    p = lookup.Policy.named("snap_to_neutral", k=2, pos="verb", odd=1)
+    assert (p.least_rank(), p.k) == (4, 2) and lookup.Policy(min_tier="clustered").least_rank() == 2 and lookup.Policy(min_tier="?").least_rank() == 0
+    hits = spark.createDataFrame([(1, 1, 0.5, "CLAIMED", "VERB"), (1, 2, 0.9, "CLAIMED", "NOUN"), (1, 3, 0.9, "GHOST", "VERB"), (2, 4, 0.3, "INFERRED", "NOUN"), (2, 5, 0.1, "CORE_ONTOLOGY", "NOUN")], "q int, entry_id int, cosine double, definition_tier string, pos_ud string")
+    got = [(r.q, r.entry_id, r.policy_score) for r in p.apply(hits, ["q"]).orderBy("q", "rank").collect()]
+    assert got == [(1, 1, 0.6), (2, 5, 0.25)]  # the verb alone; no verb, so all, but INFERRED is below the floor
+
+
+def test_pluggable_stages(spark):
+    e = lookup.HashingEmbedder(16)
+    df = spark.createDataFrame([("a red ring",), ("ring, a red",), ("blue gear",)], "t string").select("t", e.embed(F.col("t")).alias("v"))
+    a, b, c = (r.v for r in df.collect())
+    assert a == b and abs(sum(x * x for x in a) - 1) < 1e-9 and a != c
+    engine = lookup.Engine(df.select(F.monotonically_increasing_id().alias("entry_id"), "t", F.col("v").alias("embedding"), F.lit("CORE_ONTOLOGY").alias("definition_tier"), F.lit("NOUN").alias("pos_ud"), F.col("t").alias("lemma")))
+    found = engine.search(spark.createDataFrame([(7, c)], "query_id long, qv array<double>"), k=1).collect()
+    assert len(found) == 1 and found[0].query_id == 7 and found[0].cosine == 1.0
+    assert [tuple(r) for r in engine.health().collect()] == [("CORE_ONTOLOGY", 3, 3)]
+    assert engine.lookup(spark.createDataFrame([(1, "Blue Gear")], "q int, w string"), "q", "w").count() == 1
+
+
+def test_ontology_answers_of_odd_shape():
+    assert answers.read_blocks(None) == [] and answers.read_blocks("A: 1\nb") == [{"_marker": "BLOCK", "a": "1 b"}]
+    assert answers.read_blocks("x: 1\nR1\na: 2\n\nb: 3\nR2\n: 4") == [{"_marker": "R1", "a": "2"}]
+    assert answers.read_compounds("new_lemma: a") == [] and answers.read_compounds("DECISION: YES\nnew_lemma: a") == [{"new_lemma": "a"}]
+    s = answers.read_slots("• HEAD: saw\nis_a: tool; thing\nmore, still\nhas_purpose:\ncut\nwood")
+    assert s["head"] == "saw" and s["is_a"] == ["tool", "thing", "more", "still"] and s["has_purpose"] == "cut wood" and s["modifier"] == []
+    assert answers.read_entries('<answer entry_id="2">bow: a</answer><answer entry_id="2">purpose: b</answer><answer entry_id="3">') == [{"entry_id": 2, "fields": {"purpose": "b"}, "parents": [], "parts": [], "attributes": [], "events": [], "links": []}]
+
+
+def test_vectors_and_forms(spark):
+    import struct
+
+    df = spark.createDataFrame([(bytearray(struct.pack("<3f", 1, -2, 0.5)),), (bytearray(b"abc"),), (None,)], "b binary").select(X.vector_of("b").alias("v"))
+    assert [r.v for r in df.collect()] == [[1.0, -2.0, 0.5], None, None]
+    pairs = [("driving", "drive", True), ("happier", "happy", True), ("mice", "mouse", True), ("cats", "cat", True), ("catalog", "cat", False)]
+    rows = spark.createDataFrame(pairs, "t string, l string, want boolean").select(X.is_form_of(F.col("t"), F.col("l")).alias("got"), "want").collect()
+    assert all(r.got == r.want for r in rows)
+    g = spark.createDataFrame([("A hand-powered tool for driving screws", "drive"), ("", "New Saw"), (None, "x y")], "g string, l string")
+    assert [r.m for r in g.select(X.derived_microgloss(F.col("g"), F.col("l"), lexicon.STOP).alias("m")).collect()] == ["hand_powered_tool_screws", "new_saw", "x_y"]
+    cut = spark.createDataFrame([("word " * 200,), ("x" * 600,), ("short",)], "t string").select(F.length(X.cut_at_word(F.col("t"))).alias("n")).collect()
+    assert [r.n for r in cut] == [499, 500, 5]
+
+
+def test_specifications(spark):
+    spec = govern.load_spec(pattern_queries.SPEC)
+    assert len(spec) == 8 and spec["usual"]["PRIORITY"] == "5"
+    for bad, told in (("NONSENSE x { A: 1; }", "unknown primitive"), ("ENTITY a { TYPE: b; } ENTITY a { TYPE: b; }", "twice"), ("ENTITY a { }", "lacks TYPE"), ("ENTITY a { TYPE b }", "line 1, column 11"), ("?", "line 1, column 1"), ('STATE_TRANSITION t { ACTION: "a"; PRECONDITION: x > 1; GOVERNED_BY: none; }', "names no GOVERNANCE_RULE"), ("GOVERNANCE_RULE r { SCOPE: x > 1; PREDICATE: x >; ENFORCEMENT_MODE: PERMIT; PRIORITY: 1; }", "r:"), ("SELF_REFERENCE_POINT p { TARGET_TYPE: t; CONTAINS: m; } MUTATION_RULE m { TARGET_REFERENCE: p; APPROVED_BY: x; }", "change itself")):
+        with pytest.raises(govern.SpecError, match=told):
+            govern.load_spec(bad)
+
+
+def test_stage_runner():
+    ran = []
+
+    def fail():
+        raise ValueError
+
+    stages = {"a": lambda: ran.append("a"), "b": fail, "c": lambda: ran.append("c"), "d": lambda: ran.append("d")}
+    needs = {"a": [], "b": ["a"], "c": ["b"], "d": ["a"]}
+    assert govern.run_stages(needs, stages) == {"a": "done", "b": "failed", "d": "done", "c": "skipped"} and ran == ["a", "d"]
+    assert govern.run_stages(needs, stages, ["b"])["c"] == "done"
+    with pytest.raises(ValueError):
+        graph.stage_order({"a": ["b"], "b": ["a"]})
+
+
+def test_compile_and_persist(spark, tmp_path):
+    tokens = spark.createDataFrame(TOKENS, "doc_id string, sent int, idx int, text string, lemma string, pos string, dep string, head int, ent_type string")
+    entries = spark.createDataFrame([("letter", "en.letter.mail.noun.x")], "lemma string, canonical_id string")
+    tables = documents.compile_claims(tokens, entries, spark.createDataFrame([], "ent_id string, alias string"))
+    n = documents.persist(tables, str(tmp_path))
+    assert n["synapse"] == 3 and n["mention"] == 5 and n["entity"] == 5 and n["ghost"] == 0
+    senses = {r.canonical_id: r.level for r in spark.read.parquet(f"{tmp_path}/sense").collect()}
+    assert senses["en.letter.mail.noun.x"] == 1 and senses["doc.bonn.unmapped.noun.docloc"] == 4
+    gender = F.when(F.col("surface") == "Lee", "m").when(F.col("surface") == "Ann Lee", "f")
+    found = documents.mentions(tokens)
+    she = documents.resolve_pronouns(tokens, found, gender)
+    assert [(r.text, r.antecedent) for r in she.collect()] == [("She", "ann lee")]
+    assert documents.with_pronouns(found, she).where("kind = 'pronoun'").count() == 1
+
+
+def test_patterns_in_words():
+    import re
+
+    assert re.match(patterns.wildcard("sgf:en.any.verb"), "sgf:en.compose.verb") and not re.match(patterns.wildcard("en.any"), "en.a.b")
+    assert lookup.RIGOR[3][1] == [0.90, 0.95, 0.98]
+    with pytest.raises(ValueError):
+        patterns.on_plane(None, "dreams")

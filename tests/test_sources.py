@@ -1,3 +1,6 @@
+import base64
+import zlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,3 +76,37 @@ def test_exports(spark):
     assert sorted(r.value for r in lexical.triples(t).collect()) == ['syn:en_a syn:p "x\\"y" .', "syn:en_a syn:q syn:en_b ."]
     packs = lexical.knowledge_pack(t, "src").collect()
     assert all(p.content_hash.startswith("sha256:") and '"dst"' in p.payload for p in packs)
+
+
+def test_more_sources(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("one\ntwo")
+    assert [tuple(r) for r in lexical.plain_documents(spark, str(tmp_path / "a.txt")).collect()] == [("a", "one\ntwo")]
+    (tmp_path / "l.list").write_text("# verbs\nSay  # plain\n\nclaim\nsay\n")
+    assert lexical.closed_list(spark, str(tmp_path / "l.list")) == ["claim", "say"]
+    (tmp_path / "t.tsv").write_text("who\twhat\nAnn\tbooks\nBob\t\n")
+    rows = lexical.table_file(spark, str(tmp_path / "t.tsv"), "\t")
+    claims = lexical.rows_as_claims(rows, "buy", {"HAS_AGENT": "who", "HAS_THEME": "what"}, ["who"]).collect()
+    assert sorted([[(s.role, s.surface) for s in c.spokes] for c in claims]) == [[("HAS_AGENT", "Ann"), ("HAS_THEME", "books")], [("HAS_AGENT", "Bob")]]
+    (tmp_path / "k.jsonl").write_text('{"a": 1}\n{bad\n\n{"b": 2}\n')
+    assert tuple(lexical.bad_lines(spark, str(tmp_path / "k.jsonl")).first()) == (1, 3)
+    titles = spark.createDataFrame([("C%2B%2B_x", "first", 1), ("C++_x", "second", 2), ("_", "none", 3)], "title string, abstract string, n int")
+    assert [(r.title, r.abstract) for r in lexical.unique_titles(titles, "n").collect()] == [("C++ x", "first")]
+    lexical.empty_store(spark, str(tmp_path / "s"), {"entry": "id int, lemma string", "link": "a int"}, {"entry": [(1, "seed")]})
+    made = lexical.store(spark, str(tmp_path / "s"), ["entry", "link"])
+    assert made["entry"].count() == 1 and made["link"].columns == ["a"] and made["link"].count() == 0
+    pos = spark.createDataFrame([("noun, v",), ("S",), ("odd",)], "p string")
+    assert [tuple(r) for r in pos.select(lexical.normal_pos(F.col("p")), lexical.normal_pos(F.col("p"), "wordnet")).collect()] == [("NOUN,VERB", "X,VERB"), ("ADJ", "ADJ"), ("X", "X")]
+
+
+def test_lax_records_and_directives(spark, tmp_path):
+    assert [r[4] for r in rskv.records(["a=1", "b: 2"], lax=True)] == [{"a": "1", "b": "2"}] and list(rskv.records(["a=1"])) == []
+    packed = base64.b64encode(zlib.compress(b"long text")).decode()
+    text = f"#SET: s\n#ENCODE: t:base64\n#COMPRESS: t:zlib\n#VALIDATE: t:required, n:/[0-9]+/\n#PROVENANCE: me\nt: {packed}\nn: x\n"
+    (_, _, _, meta, record), = rskv.records(text.split("\n"))
+    assert record["t"] == "long text" and meta["provenance"] == "me"
+    assert rskv.invalid(record, meta["validate"]) == ["n"] and rskv.invalid({}, meta["validate"]) == ["t"]
+    with pytest.raises(rskv.RskvError):
+        list(rskv.records(["#SET: s", "#ENCODE: t:base64", "t: ???"], strict=True))
+    (tmp_path / "a.rskv").write_text("#SET: s\n#SCHEMA: n:int, t:str\nn: 1\nt: a\nextra: e\n---ROW---\nn: two\n")
+    t = rskv.as_table(rskv.read_files(spark, str(tmp_path / "a.rskv")), "s")
+    assert t.columns == ["position", "n", "t", "extra"] and [tuple(r) for r in t.orderBy("position").collect()] == [(0, 1, "a", "e"), (1, None, None, None)]

@@ -52,3 +52,14 @@ def test_snapshot(spark, tmp_path):
     sink(spark.createDataFrame([("a", 1, 1), ("a", 2, 2), ("b", 5, 1)], "k string, v int, at int"), 0)
     sink(spark.createDataFrame([("a", 3, 3), ("b", 4, 0)], "k string, v int, at int"), 1)
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "snap" / "v=1")).select("k", "v").collect())) == [("a", 3), ("b", 5)]
+
+
+def test_batches_meet_the_table_of_their_time(spark, tmp_path):
+    step = M.against_current(str(tmp_path / "lexicon"), ["k"], str(tmp_path / "out"))
+    batch = spark.createDataFrame([("a",), ("b",)], "k string")
+    for epoch, name in ((0, "old"), (1, "new")):
+        spark.createDataFrame([("a", name)], "k string, sense string").write.mode("overwrite").parquet(str(tmp_path / "lexicon"))
+        for _ in range(2):  # a repeated batch changes nothing
+            step(batch, epoch)
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted((r.v, r.k, r.sense) for r in got) == [(0, "a", "old"), (0, "b", None), (1, "a", "new"), (1, "b", None)]
