@@ -36,18 +36,21 @@ def shared_dir(spark: SparkSession) -> str:
         named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _OWN_DIR is None:
         _OWN_DIR = tempfile.mkdtemp(prefix="claimloom-")
     return f"file://{_OWN_DIR}"
 
 
 _TABLES: list[str] = []
+_CATALOG: dict[str, str] = {}
 
 
 def written(df: DataFrame, name: str, free: bool = False, keep: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again: lineage ends here, and
     the rows survive the loss of any executor.  ``free`` lets Spark delete the shuffle files that
-    only this table needed; ``keep`` exempts the table from ``sweep``."""
+    only this table needed; ``keep`` leaves it out of ``tables``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
@@ -64,7 +67,52 @@ def written(df: DataFrame, name: str, free: bool = False, keep: bool = False) ->
     return out
 
 
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """``df`` written once in buckets of ``key``, one for each shuffle partition: joins on ``key``
+    then move only their other side.  A table of the session's catalog until ``dropped``."""
+    spark = df.sparkSession
+    parts = shuffle_parts(spark)
+    table = f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{table}"
+    df.repartition(parts, key).write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(parts, key).saveAsTable(table)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    out = spark.table(table)
+    out._claimloom_path = path
+    _CATALOG[path] = table
+    _TABLES.append(path)
+    return out
+
+
+def one_per_document(df: DataFrame, id_col: str, text_col: str, own: str) -> DataFrame:
+    """``df`` with a column ``own``, the number of each document in the order of ids.  Rows with one
+    id and one text are one document.  Ids serve as they are unless one is null or stands on
+    different texts; then documents are numbered by id and text hash, and each row with a null id is
+    a document of its own, after all others."""
+    hashed = df.withColumn("_h", F.xxhash64(F.coalesce(text_col, F.lit(""))))
+    odd = hashed.groupBy(F.col(id_col).alias("_id")).agg((F.min("_h") != F.max("_h")).alias("differ")).where("_id IS NULL OR differ")
+    if not odd.limit(1).count():
+        return df.withColumn(own, F.col(id_col).cast("long"))
+    alone = F.when(F.col(id_col).isNull(), F.monotonically_increasing_id()).otherwise(0)
+    rows = written(hashed.withColumn("_own", alone).withColumn("_last", F.col(id_col).isNull().cast("int")).withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit(0))), "rows")
+    key = ["_last", "_id", "_h", "_own"]
+    ranks, _ = group_ranks(rows.select(F.lit(0).alias("_all"), *key).distinct(), "_all", key, "numbers")
+    return rows.join(ranks.drop("_all"), key).withColumn(own, F.col("rank")).select(*df.columns, own)
+
+
+def one_per_row(df: DataFrame, id_col: str, own: str) -> DataFrame:
+    """``df`` with a column ``own`` that no two rows share: the id where ids do that, else a number
+    given once, in a written table."""
+    odd = df.groupBy(F.col(id_col).alias("_id")).agg(F.count(F.lit(1)).alias("_n")).where("_id IS NULL OR _n > 1")
+    if not odd.limit(1).count():
+        return df.withColumn(own, F.col(id_col).cast("long"))
+    return written(df.withColumn(own, F.monotonically_increasing_id()), "rows")
+
+
 def _delete(spark: SparkSession, path: str) -> None:
+    if path in _CATALOG:
+        spark.sql(f"DROP TABLE IF EXISTS {_CATALOG.pop(path)}")
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
@@ -78,15 +126,20 @@ def dropped(df: DataFrame) -> None:
             _TABLES.remove(path)
 
 
-def tables_now() -> int:
-    return len(_TABLES)
+def tables() -> set[str]:
+    """The tables that operators have written and that still stand."""
+    return set(_TABLES)
 
 
-def sweep(spark: SparkSession, since: int) -> None:
-    """Delete the tables made since ``tables_now()`` gave ``since``, once the lazy results that
-    read them are written elsewhere."""
-    while len(_TABLES) > since:
-        _delete(spark, _TABLES.pop())
+def drop_unread(df: DataFrame, paths: set[str]) -> set[str]:
+    """Delete those of the tables ``paths`` that ``df`` does not read; returns the others."""
+    files = df.inputFiles() if paths else []
+    read = {p for p in paths if any(f"/{p.rsplit('/', 1)[-1]}/" in f for f in files)}
+    for path in paths - read:
+        if path in _TABLES:
+            _delete(df.sparkSession, path)
+            _TABLES.remove(path)
+    return read
 
 
 def shuffle_parts(spark: SparkSession, at_least: int = 1) -> int:
@@ -151,6 +204,14 @@ def mix64(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def trim() -> None:
+    """Hands this process's free memory back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def lean(function):
     """The same Arrow function, after which the worker hands free memory back to the system: workers
     are reused, and what one task's scratch arrays held must not add to the next one's."""
@@ -159,10 +220,7 @@ def lean(function):
         try:
             yield from function(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            trim()
 
     return run
 

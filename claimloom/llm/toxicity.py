@@ -9,6 +9,10 @@ id).  Near copies in the sample count once, else the chance words of a much copi
 evidence; a word enters when most texts with it are toxic, by a test corrected for the number of words
 tried.  Scoring runs over every document's whole text.
 
+The grades are those of the labels, and as many thresholds are fitted as they have grades above 0:
+labels that tell only toxic from clean give one, and the expected severity is then the probability
+of toxicity.
+
 Edges: null and empty texts have no features and get the base rate; labels that are null are not
 learned from; with one grade only, or no labels, severity is the base rate and nothing is
 rejected at or below one half; repeated rows are scored each; further columns are ignored.
@@ -16,6 +20,8 @@ rejected at or below one half; repeated rows are scored each; further columns ar
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -62,6 +68,13 @@ def one_of_each(sets: list[np.ndarray]) -> np.ndarray:
     return keep
 
 
+def _counts(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct words of all sets in order, and how many sets have each."""
+    every = np.sort(np.concatenate(sets)) if sets else np.zeros(0, np.uint64)
+    first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, np.int64)
+    return every[first], np.diff(np.append(first, len(every))).astype(np.int32)
+
+
 def _evidence(a: np.ndarray, c: np.ndarray, p: float) -> np.ndarray:
     """Log-likelihood gain of the share a / c over the share p."""
     q = a / np.maximum(c, 1)
@@ -77,29 +90,45 @@ def telling_words(sets: list[np.ndarray], high: np.ndarray, wrong: float = 0.01,
     before do not count."""
     if not sets or high.all() or not high.any():
         return np.zeros(0, np.uint64)
-    every, back = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-    c = np.bincount(back, minlength=len(every))
+    every, c = _counts(sets)
+    a = np.zeros(len(every), np.int32)
+    some, n = _counts([x for x, h in zip(sets, high) if h])
+    a[np.searchsorted(every, some)] = n
     p, least = high.mean(), np.log(max(len(every), 1) / wrong)
-    first = np.flatnonzero(_evidence(np.bincount(back, weights=high[owner], minlength=len(every)), c, p) > least)
-    seldom = (c <= max(2, rare * len(sets)))[back]
-    bounds = np.searchsorted(owner, np.arange(len(sets) + 1))
-    few = {}
+    first = every[_evidence(a, c, p) > least]
+    most = max(2, rare * len(sets))
+    shared_rare = every[(c > 1) & (c <= most)]
+    alone = every[c == 1] if most >= 1 else every[:0]
+    del every, a, c
+
+    def inside(x: np.ndarray, words: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(words, x)
+        at[at == len(words)] = 0
+        return words[at] == x if len(words) else np.zeros(len(x), bool)
+
+    has = [x[inside(x, first)] for x in sets]
+    few: dict[int, tuple[set[int], int]] = {}  # rare words that others have too, and the number of all rare words
+    seldom = set(first[inside(first, shared_rare) | inside(first, alone)].tolist())
+    owners: dict[int, list[int]] = {int(w): [] for w in first}
+    for d, words in enumerate(has):
+        for w in words.tolist():
+            owners[w].append(d)
     keep = []
-    for w in first:
-        counted: list[set[int]] = []
+    for w in first.tolist():
+        counted: list[tuple[set[int], int]] = []
         a = 0
-        for d in owner[back == w].tolist():
+        for d in owners[w]:
             if d not in few:
-                part = slice(bounds[d], bounds[d + 1])
-                few[d] = set(back[part][seldom[part]].tolist())
-            mine = few[d] - {w}
-            if any(len(mine & x) >= max(2, shared * min(len(mine), len(x))) for x in counted):
+                both = sets[d][inside(sets[d], shared_rare)]
+                few[d] = set(both.tolist()), len(both) + int(inside(sets[d], alone).sum())
+            mine, size = few[d]
+            mine, size = (mine - {w}, size - 1) if w in seldom else (mine, size)
+            if any(len(mine & x) >= max(2, shared * min(size, k)) for x, k in counted):
                 continue
-            counted.append(mine)
+            counted.append((mine, size))
             a += int(high[d])
         keep.append(_evidence(np.array([a]), np.array([len(counted)]), p)[0] > least)
-    return every[first[np.array(keep, bool)]]
+    return first[np.array(keep, bool)]
 
 
 def fit_ordinal(x: np.ndarray, grade: np.ndarray, top: int, ridge: float = RIDGE, steps: int = 400):
@@ -127,17 +156,14 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, top: int, ridge: float = RIDGE
     return w, theta
 
 
-def split_grades(x: np.ndarray, grade: np.ndarray) -> np.ndarray:
-    """Where labels tell only toxic from clean, toxic texts with more telling words than their
-    median are of grade 2."""
-    if grade.max(initial=0) != 1:
-        return grade
-    count = x.sum(1)
-    return np.where((grade == 1) & (count > np.median(count[grade == 1])), 2, grade)
-
-
 def fit(docs: DataFrame, grades: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text"):
     """``grades``: columns id_col, grade (int from 0).  Returns (words, weights, thetas)."""
+    model = _fit(docs, grades, sample, id_col, text_col)
+    C.trim()
+    return model
+
+
+def _fit(docs: DataFrame, grades: DataFrame, sample: int, id_col: str, text_col: str):
     some = grades.where("grade IS NOT NULL").groupBy(id_col).agg(F.max("grade").alias("grade"))
     some = some.where(F.col(id_col).isNotNull()).orderBy(F.xxhash64(id_col), id_col).limit(sample)  # a bounded table
     joined = docs.select(id_col, text_col).join(F.broadcast(some), id_col).select("grade", text_col)
@@ -149,17 +175,17 @@ def fit(docs: DataFrame, grades: DataFrame, sample: int = SAMPLE, id_col: str =
                 values, first = word_sets(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
                 yield C.record([("grade", batch.column(0).slice(lo, hi - lo).cast(pa.int32())), ("words", C.binary_rows(values, first))])
 
-    rows = joined.mapInArrow(C.lean(run), "grade int, words binary").collect()
-    sets = [np.frombuffer(r["words"], np.uint64) for r in rows]
-    order = sorted(range(len(sets)), key=lambda i: (sets[i].tobytes(), rows[i]["grade"]))  # alike on every run
-    sets, grade = [sets[i] for i in order], np.array([rows[i]["grade"] for i in order], int)
+    rows = joined.mapInArrow(C.lean(run), "grade int, words binary").toArrow()  # ``sample`` rows; their sets are views of it
+    grade = rows.column("grade").to_numpy().astype(int)
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("words")]
+    order = sorted(range(len(sets)), key=lambda i: (hashlib.blake2b(sets[i]).digest(), grade[i]))  # alike on every run
+    sets, grade = [sets[i] for i in order], grade[order]
     if not len(sets):
         return np.zeros(0, np.uint64), np.zeros(0), np.array([np.inf])
     keep = one_of_each(sets)
     sets, grade = [s for s, k in zip(sets, keep) if k], grade[keep]
     words = telling_words(sets, grade > 0)
     x = np.array([np.isin(words, s) for s in sets], float).reshape(len(sets), len(words))
-    grade = split_grades(x, grade)
     return words, *fit_ordinal(x, grade, max(int(grade.max()), 1))
 
 

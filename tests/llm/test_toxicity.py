@@ -46,6 +46,31 @@ def test_held_out_accuracy_and_severity(spark):
     assert all(0 <= r.severity <= 2 and r.kept != r.toxic for r in rows.values())
 
 
+def test_severities_against_a_plain_computation(spark):
+    import re
+
+    texts, grades = corpus(200, 5)
+    texts += [None, "", "ÄRGER zidiot-zfool", "zmoron" * 3]
+    docs = docs_of(spark, texts)
+    model = X.fit(docs, spark.createDataFrame(list(enumerate(grades)), "doc_id long, grade int"))
+    words, w, theta = model
+    assert len(theta) == 2 and theta[0] <= theta[1] and len(words) > 3
+    weight = dict(zip(words.tolist(), w.tolist()))
+
+    def hashes(word):
+        """A word's hash, and those of its prefixes of 3 to 9 bytes, each from a text of its own."""
+        raw = np.frombuffer(word, np.uint8)
+        return X.features(raw, np.array([0, len(raw)]))[0].tolist()
+
+    for r in X.grade_documents(docs, model).collect():
+        text = (texts[r.doc_id] or "").encode()
+        lower = bytes(c + 32 if 65 <= c <= 90 else c for c in text)
+        have = {h for word in re.findall(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", lower) for h in hashes(word)}
+        z = sum(weight.get(h, 0.0) for h in have)
+        p = [1 / (1 + np.exp(t - z)) for t in theta]
+        assert abs(r.severity - sum(p)) < 1e-9 and r.grade == sum(x >= 0.5 for x in p) and r.toxic == (p[0] > 0.5)
+
+
 def test_many_copies_of_one_toxic_text_teach_no_chance_words(spark):
     texts, grades = corpus(300, 2)
     chance = "qqqa qqqb qqqc qqqd qqqe qqqf " * 3
