@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimloom.llm import _common as C
@@ -54,33 +54,35 @@ def targets(sizes: dict[str | None, int], weights=WEIGHTS, share: float = SHARE,
     return out
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Columns doc_id, size, source, source_size, target, copies."""
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
+    """Columns doc_id, size, source, source_size, target, copies; and ``row_col`` where one is named."""
     spark = docs.sparkSession
-    sized = docs.select(F.col(id_col), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    ranked, rows = C.group_ranks(sized, "source", ["size", id_col], "mix")
+    own = [row_col] if row_col else []
+    sized = docs.select(F.col(id_col), *own, F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    sized = C.written(sized, "sizes")  # words are counted once; sampling and sorting read the counts
+    ranked, rows = C.group_ranks(sized, "source", ["size", id_col, *own], "mix")
+    C.dropped(sized)
     # a row for each source: sources are what the weights name, a list held by people
     sizes = {r["source"]: int(r["n"]) for r in rows.groupBy("source").agg(F.sum("size").alias("n")).collect()}
     goal = targets(sizes, weights, share, cap) if sizes else {}
     lines = [(s, sizes[s], goal[s], goal[s] / sizes[s] if sizes[s] else 0.0, offset_of(s, seed)) for s in sizes]
     plan = spark.createDataFrame(lines, "s string, source_size long, target double, each double, first double")
     crossed = F.floor(F.col("first") + F.col("each") * (F.col("rank") + 1)) - F.floor(F.col("first") + F.col("each") * F.col("rank"))
-    return ranked.join(plan, F.col("source").eqNullSafe(F.col("s"))).select(id_col, "size", "source", "source_size", "target", crossed.alias("copies"))
-
-
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """The documents themselves, each as many times as the mix takes it; columns of the input."""
-    copies = mix(docs, id_col=id_col, **how).groupBy(F.col(id_col).alias("_id")).agg(F.sum("copies").alias("_n"), F.count(F.lit(1)).alias("_rows")).where("_n > 0")
-    copies = C.written(copies, "copies")
-    joined = docs.join(copies, F.col(id_col).eqNullSafe(F.col("_id")))
-    many = joined.withColumn("_c", F.explode(F.expr("sequence(1, cast(_n as int))")))
-    out = many.where("_rows = 1").select(*docs.columns)
-    if copies.where("_rows > 1").limit(1).count():
-        # repeated rows of one id share its copies, dealt by a number within the id
-        order = Window.partitionBy("_id").orderBy(*[F.col(c) for c in docs.columns if c != id_col])
-        numbered = joined.where("_rows > 1").withColumn("_i", F.row_number().over(order)).withColumn("_c", F.explode(F.expr("sequence(1, cast(_n as int))")))
-        out = out.unionByName(numbered.where("(_c - 1) % _rows + 1 = _i").select(*docs.columns))
-    return out
+    # rank * each loses its last bits at very large ranks, which must not lift a document above the cap
+    copies = F.least(F.greatest(crossed, F.lit(0)), F.lit(cap))
+    return ranked.join(plan, F.col("source").eqNullSafe(F.col("s"))).select(id_col, *own, "size", "source", "source_size", "target", copies.alias("copies"))
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+    """The documents themselves, each as many times as the mix takes it; columns of the input.
+    Copies meet their row by a number of its own, so null and repeated ids gather nowhere."""
+    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"), F.struct(*[c for c in docs.columns if c != text_col]).alias("row"))
+    rows = C.one_per_row(base, "id", "own")
+    copies = C.written(mix(rows, id_col="id", row_col="own", **how).where("copies > 0").select("own", F.col("copies").cast("int").alias("n")), "copies")
+    # the plan is the same at every size: texts move once, and only the copies are held for the join
+    joined = rows.drop("id", "source").join(copies.hint("shuffle_hash"), "own")
+    many = joined.select("row", "text", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    return many.select(*[F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,9 +6,10 @@
    with a value in [i, i+1); after t rounds bin i-t takes what is left, so every coordinate is
    filled after 2t rounds at most and its minimum agrees between two sets with the probability of
    their Jaccard similarity, with the concentration of t independent samples.
-3. Bands of the sketch give candidate components.  A component's sets meet in blocks of bounded
-   size (each pair of blocks is one group), so a component that holds a third of all rows is
-   spread over many tasks.
+3. Bands of the sketch give candidate components.  A component's sets are dealt to blocks of bounded
+   size, so one that holds a third of all rows is spread over many tasks.  Each block is linked by
+   itself, together with the component's smallest document; only where several groups remain do its
+   blocks meet in pairs.
 4. Within a group the sketches screen pairs of different components, and full sets decide.  Only
    the links that join components leave the task: a spanning forest says as much as all pairs.
 5. Components of the links are found by star rounds over written tables.
@@ -117,12 +118,12 @@ def _member_sets(members: DataFrame, k: int, t: int) -> DataFrame:
     return members.select("component", "blocks", "id", "text").mapInArrow(C.lean(run), "component long, blocks long, id long, shingles binary, sketch binary")
 
 
-def forest(ids: np.ndarray, side: np.ndarray, sets: list[np.ndarray], sketch: np.ndarray, percent: int, cut: float):
-    """Links of a spanning forest over pairs at or above the threshold.  Pairs of one component
-    need no check; with two sides only pairs across them are looked at."""
+def forest(ids: np.ndarray, side: np.ndarray, label: np.ndarray, sets: list[np.ndarray], sketch: np.ndarray, percent: int, cut: float):
+    """Links of a spanning forest over pairs at or above the threshold.  Pairs of one ``label``, or
+    joined by links found before, need no check; with two sides only pairs across them are looked at."""
     m, t = sketch.shape
     sizes = np.array([len(s) for s in sets])
-    lab = np.arange(m)
+    lab = np.unique(label, return_inverse=True)[1]
     links = []
     across = side.min() != side.max()
     least = math.ceil(cut * t)
@@ -174,11 +175,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     blocks = weighed.select("component", F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("shingles") / BLOCK_SHINGLES), F.lit(1)).cast("long").alias("blocks"))
     members = parts.join(blocks, "component")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    held = _member_sets(members.join(texts, "id"), k, t)
-    held = held.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks"))).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
-    held = held.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "shingles", "sketch")
+    # members are the smaller side whatever the size of the corpus: texts are never sorted for this join
+    held = C.written(_member_sets(texts.join(members.hint("shuffle_hash"), "id"), k, t).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks"))), "sets", free=True)
     keys = ["component", "i", "j"]
-    laid = held.repartition(C.shuffle_parts(spark), *keys).sortWithinPartitions(*keys, "id")
 
     def link(batches):
         for group in C.key_runs(batches, keys):
@@ -191,12 +190,31 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
                 continue
             sets = [np.frombuffer(x.as_py(), np.uint64) for x in group.column("shingles")]
             sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint16).reshape(len(ids), t)
-            found = forest(ids, group.column("own").to_numpy(), sets, sketch, percent, cut)
+            found = forest(ids, group.column("side").to_numpy(), group.column("label").to_numpy(), sets, sketch, percent, cut)
             if found:
                 a, b = zip(*found)
                 yield C.record([("a", pa.array(a, pa.int64())), ("b", pa.array(b, pa.int64()))])
 
-    links = C.min_components(laid.mapInArrow(C.lean(link), "a long, b long"), "links")
+    def links_in(groups: DataFrame) -> DataFrame:
+        laid = groups.repartition(C.shuffle_parts(spark), *keys).sortWithinPartitions(*keys, "id")
+        return laid.mapInArrow(C.lean(link), "a long, b long")
+
+    # first each block by itself, together with the component's smallest document: a family of near
+    # copies joins through it, and its blocks need not meet in pairs
+    fields = ["component", "i", "j", "side", "label", "id", "shingles", "sketch"]
+    hub = held.where("id = component AND blocks > 1").withColumn("i", F.explode(F.expr("sequence(0L, blocks - 1)"))).where("i <> own")
+    inside = held.withColumn("i", F.col("own")).unionByName(hub).withColumn("j", F.col("i")).withColumn("side", F.lit(0)).withColumn("label", F.col("id"))
+    first = C.written(links_in(inside.select(*fields)), "links")
+    links = C.written(C.min_components(first, "links"), "links")
+    # then pairs of blocks, where a candidate component still falls into several groups
+    own = members.where("blocks > 1").join(links.withColumnRenamed("component", "label"), "id", "left").select("id", "component", F.coalesce("label", "id").alias("label"))
+    apart = own.groupBy("component").agg(F.min("label").alias("one"), F.max("label").alias("two")).where("one < two").select("component")
+    apart = C.written(own.join(apart, "component").select("id", "label"), "apart")
+    if apart.limit(1).count():
+        again = held.join(apart, "id").withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)"))).where("other <> own")
+        again = again.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).withColumn("side", (F.col("own") == F.col("j")).cast("int"))
+        links = C.written(C.min_components(first.unionByName(links_in(again.select(*fields))), "links"), "links")
+    C.dropped(held)
     # only sets with copies need the join; these are salted, for one set may hold a third of all rows
     key = ["set_a", "set_b", "n_shingles"]
     copied = prints.where("n_shingles > 0").groupBy(*key).agg(F.min(id_col).alias("rep"), F.count(F.lit(1)).alias("copies")).where("copies > 1")

@@ -287,21 +287,6 @@ def _sort_groups(seg: np.ndarray, texts: list, n: int):
 # ---------------------------------------------------------------- operator
 
 
-def _numbered(rows: DataFrame) -> DataFrame:
-    """``id`` as a number of its own for each document, in the order of ids.  Ids serve as they are
-    unless one is null or repeats with another text; then rows are numbered by id, nulls last."""
-    rows = rows.withColumn("_h", F.xxhash64(F.coalesce("text", F.lit(""))))
-    odd = rows.groupBy("id").agg((F.min("_h") != F.max("_h")).alias("differ")).where("id IS NULL OR differ")
-    if not odd.limit(1).count():
-        return rows.drop("_h")
-    # a null id names no document: each such row is one
-    own = F.when(F.col("id").isNull(), F.monotonically_increasing_id()).otherwise(0)
-    rows = C.written(rows.withColumn("_own", own).withColumn("_last", F.col("id").isNull().cast("int")).withColumn("id", F.coalesce("id", F.lit(0))), "rows")
-    key = ["_last", "id", "_h", "_own"]
-    ranks, _ = C.group_ranks(rows.select(F.lit(0).alias("_all"), *key).distinct(), "_all", key, "numbers")
-    return rows.join(ranks.drop("_all"), key).select(F.col("rank").alias("id"), "text", "row")
-
-
 def cut_repeats(docs: DataFrame, n: int = N_BYTES, context: int = CONTEXT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Columns row (struct of the input's columns but the text), n_bytes, spans
     (array of struct(start, stop), the maximal removed runs), kept (binary)."""
@@ -310,7 +295,8 @@ def cut_repeats(docs: DataFrame, n: int = N_BYTES, context: int = CONTEXT, id_co
     keys = C.even_keys(spark, parts)  # one bucket for each partition, of hashes as of documents
     rest = [c for c in docs.columns if c != text_col]
     row = F.struct(*rest).cast(T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema.fields if f.name != text_col]))
-    base = _numbered(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), row.alias("row")))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), row.alias("row"))
+    base = C.one_per_document(rows, "id", "text", "number").select(F.col("number").alias("id"), "text", "row")
 
     def send_anchors(held: list):
         if held:

@@ -95,3 +95,23 @@ def test_repeated_rows_and_empty(spark, tmp_path):
     assert sorted(r.doc_id for r in P.near_dedup(spark, twice, "").collect()) == [0, 1]
     empty = docs.where("doc_id > 7")
     assert P.cut_passages(spark, P.near_dedup(spark, empty, ""), "").collect() == []
+
+
+def test_null_and_shared_ids(spark, tmp_path):
+    rng = random.Random(4)
+    text = lambda k: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(k))
+    a, b, c, d = text(60), text(70), text(80), text(90)
+    rows = [(1, a), (1, b), (None, c), (None, d), (None, a), (7, b), (9, text(40)), (9, None), (None, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], docs_of(spark, []).schema).repartition(3)
+    kept = P.near_dedup(spark, docs, "").collect()
+    # the null-id copy of a and the copy of b under a later id go; all else is alone
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([x for i, x in enumerate(rows) if i not in (4, 5)], key=str)
+    mixed = P.mix_sources(spark, docs, "").collect()
+    times = {}
+    for r in mixed:
+        times[r.doc_id, r.text] = times.get((r.doc_id, r.text), 0) + 1
+    assert set(times) <= set(rows) and max(times.values()) <= 2
+    words = sum(len((t or "").split()) * n for (_, t), n in times.items())
+    assert abs(words - 1.5 * sum(len((t or "").split()) for _, t in rows)) <= 90
+    cut = P.cut_passages(spark, docs, "").collect()
+    assert len(cut) == len(rows) and sum(len(r.text or "") for r in cut) == sum(len(x) for x in {t for _, t in rows if t})
