@@ -55,22 +55,53 @@ def test_against_brute_force(spark, monkeypatch):
         assert np.allclose([s for _, s in mine], [s for _, s in best], atol=2e-6)
 
 
-def test_pruning_visits_fewer_blocks_and_loses_nothing():
+def test_wand_skips_documents_and_loses_nothing(monkeypatch):
     rng = np.random.default_rng(1)
     n_docs, n_terms = 5000, 30
     cells = np.sort(rng.choice(n_docs * n_terms, 40_000, replace=False))
     term, doc = cells // n_docs, cells % n_docs
-    impact = rng.exponential(1, len(cells)) * (1 + (doc < 200) * 5)
+    impact = np.round(rng.exponential(1, len(cells)) * (1 + (doc < 200) * 5), 1)  # with many ties
     first = np.searchsorted(term, np.arange(n_terms + 1))
-    queries = [(rng.choice(n_terms, 4, replace=False), rng.integers(1, 3, 4).astype(float)) for _ in range(20)]
-    q, d, s = S.search_shard((first, doc, impact), n_docs, queries, 5)
-    for j, (t, w) in enumerate(queries):
-        full = np.zeros(n_docs)
-        for a, b in zip(t, w):
-            full[doc[first[a] : first[a + 1]]] += b * impact[first[a] : first[a + 1]]
-        full = np.round(full, 6)
-        best = np.lexsort((np.arange(n_docs), -full))[:5]
-        assert d[q == j].tolist() == best.tolist() and np.allclose(s[q == j], full[best])
+    for round_ in range(20):
+        asked = rng.choice(n_terms, rng.integers(1, 7), replace=False)
+        weight = rng.integers(1, 3, len(asked)).astype(float)
+        shard = S.Shard(first, doc, impact, n_docs)
+        full, met = np.zeros(n_docs), np.zeros(n_docs, bool)
+        for t, w in zip(asked, weight):
+            full[doc[first[t] : first[t + 1]]] += w * impact[first[t] : first[t + 1]]
+            met[doc[first[t] : first[t + 1]]] = True
+        full = np.where(met, np.round(full, 6), -1)
+        want = np.lexsort((np.arange(n_docs), -full))[:5]
+        found, scores = S.wand(shard, asked, weight, S.Best(5))
+        assert found.tolist() == want.tolist() and np.allclose(scores, full[want])
+        # a task that has seen better documents finds only what reaches them
+        high = S.Best(5)
+        high.add(np.full(5, full[want][2]))
+        found, scores = S.wand(shard, asked, weight, high)
+        assert set(want[full[want] > full[want][2]]) <= set(found.tolist())
+
+
+def test_an_index_serves_many_searches_and_queries_go_in_blocks(spark, monkeypatch):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices([f"w{i}" for i in range(40)], k=rng.randint(0, 30))) for _ in range(200)]
+    df = docs_of(spark, texts)
+    index = S.build_index(df)
+    monkeypatch.setattr(S, "QUERIES", 3)
+    for seed in (1, 2):
+        queries = [(j, " ".join(random.Random(seed * 100 + j).choices([f"w{i}" for i in range(45)], k=4))) for j in range(8)]
+        want = brute(texts, queries, 5)
+        got = {}
+        for r in S.top_k(df, spark.createDataFrame(queries, "item_id long, text string"), k=5, index=index).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((r.doc_id, r.score))
+        assert {q: [d for d, _ in x] for q, x in got.items()} == {q: [d for d, _ in x] for q, x in want.items() if x}
+
+
+def test_null_ids_and_long_texts(spark):
+    rows = [(None, "alpha beta"), (3, "alpha beta"), (None, "alpha beta"), (2, "beta " * 300_000), (2**60 + 1, "alpha beta"), (2**60, "alpha beta")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    q = spark.createDataFrame([(1, "alpha"), (None, "beta")], "item_id long, text string")
+    got = [(r.rank, r.doc_id) for r in S.top_k(df, q).orderBy("rank").collect()]
+    assert got == [(1, None), (2, None), (3, 3), (4, 2**60), (5, 2**60 + 1)]
 
 
 def test_empty(spark):
