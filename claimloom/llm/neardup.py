@@ -18,7 +18,9 @@ Recall: with t = 125 in 25 bands of 5, a pair at similarity 0.85 is missed with
 by the bands and below 1e-6 by the screen (cut 5.5 standard deviations below the threshold).
 
 Edges: null, empty and blank texts have no shingles and stand alone; fewer words than k make one
-shingle of the whole sequence; repeated rows share a class; further columns are ignored.
+shingle of the whole sequence; repeated rows share a class; a row with a null id stands for none: it
+belongs to the documents with its very set, and without such it has no component and is kept (the
+pipeline numbers such rows first, so that they are judged like any other); further columns are ignored.
 """
 
 from __future__ import annotations
@@ -223,7 +225,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     own = own.withColumn("rep", F.coalesce("rep", F.when(F.col("n_shingles") > 0, F.col(id_col))))
     out = own.join(links, own["rep"] == links["id"], "left")
     component = F.coalesce("component", "rep", F.col(id_col))
-    return out.select(id_col, "n_shingles", component.alias("component_id"), F.coalesce(F.col(id_col) == component, F.lit(False)).alias("kept"))
+    return out.select(id_col, "n_shingles", component.alias("component_id"), F.coalesce(F.col(id_col) == component, component.isNull()).alias("kept"))
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

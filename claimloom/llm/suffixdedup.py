@@ -10,8 +10,8 @@ recurse on names, merge the remaining suffixes, compare adjacent prefixes), dist
    looks at nothing but the window's own bytes, so equal windows have equal anchors: windows need
    be compared only with those of the same anchor hash.  Consecutive windows of one anchor make a
    segment.  An anchor hash that occurs once ends there, so unique text is never sorted.
-2. Segments of one anchor hash that are equal byte for byte (128 bits of hashes) are collapsed
-   to the earliest; the windows of the others all start earlier there.
+2. Segments of one anchor hash whose own 64-bit hashes are equal as well are collapsed to the
+   earliest; the windows of the others all start earlier there.
 3. The remaining, different segments of an anchor hash are the text to be sorted.  They go to the
    partition of their hash, where the difference-cover suffix array of whole groups is built and
    adjacent suffixes are compared over n bytes; in each run of equal windows all but the earliest
