@@ -69,17 +69,43 @@ def as_of(rows: DataFrame, at: Column, start: str = "valid_from", stop: str = "v
     return rows.where((F.col(start) <= at) & (F.col(stop).isNull() | (at < F.col(stop))))
 
 
-def trust_lens(rows: DataFrame, most_rank: int = 7, min_confidence: float | None = None, classes: list[str] | None = None, statuses: list[str] | None = None, horizon: Column | None = None) -> DataFrame:
-    """Source class, epistemic status, tier, confidence and time horizon, each only when asked."""
-    if classes:
-        rows = rows.where(F.col("source_class").isin(classes))
-    if statuses:
-        rows = rows.where(F.col("status").isin(statuses))
+def trust_lens(
+    rows: DataFrame,
+    most_rank: int = 7,
+    min_confidence: float | None = None,
+    classes: list[str] | None = None,
+    statuses: list[str] | None = None,
+    horizon: Column | None = None,
+    derivations: list[str] | None = None,
+    opinions: bool = True,
+    testimony: bool = True,
+    contradictions: str = "keep",
+    key: list[str] | None = None,
+    value: str = "value",
+) -> DataFrame:
+    """Claims as a reader trusts them: by source class, epistemic status, derivation, tier, confidence,
+    time, with or without opinions and testimony (column kind), each only when asked.  Contradictions,
+    several values of one ``key``, are kept, dropped, or settled for the latest."""
+    for column, wanted in (("source_class", classes), ("status", statuses), ("derivation", derivations)):
+        if wanted:
+            rows = rows.where(F.col(column).isin(wanted))
+    for kind, allowed in (("opinion", opinions), ("testimony", testimony)):
+        if not allowed:
+            rows = rows.where(F.coalesce(F.col("kind") != kind, F.lit(True)))
     if min_confidence is not None:
         rows = rows.where(F.col("confidence") >= min_confidence)
     if horizon is not None:
         rows = rows.where(F.col("recorded_at") >= horizon)
-    return rows.where(F.col("tier_rank") <= most_rank) if "tier_rank" in rows.columns else rows
+    if "tier_rank" in rows.columns:
+        rows = rows.where(F.col("tier_rank") <= most_rank)
+    if contradictions == "keep":
+        return rows
+    several = rows.groupBy(*key).agg(F.min(value).alias("_a"), F.max(value).alias("_b")).where("_a <> _b").select(*key)
+    if contradictions == "drop":
+        return rows.join(several, key, "left_anti")
+    if contradictions != "latest":
+        raise ValueError(f"contradictions are kept, dropped or settled, not {contradictions}")
+    return resolve_conflicts(rows, key, [F.desc("recorded_at"), F.asc(value)])
 
 
 def resolve_conflicts(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:

@@ -312,6 +312,18 @@ def required_keys(record: Column, keys: list[str]) -> Column:
     return out
 
 
+def file_present(spark, path: str) -> bool:
+    """Is there a file or a folder at a path of any file system that Spark reads?"""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where))
+
+
+def written(spark, path: str, rows: int | None = None) -> bool:
+    """Did a write or an export end, with as many rows as it should have?"""
+    done = file_present(spark, f"{path}/_SUCCESS")
+    return done and (rows is None or spark.read.parquet(path).count() == rows)
+
+
 def conforms(df: DataFrame, schema) -> bool:
     """Does a table have the columns and types of a schema, whatever else it has?"""
     have = {f.name: f.dataType for f in df.schema.fields}

@@ -170,6 +170,16 @@ def centroids(rows: DataFrame, vec: str, label: str) -> DataFrame:
     return mean.groupBy(label).agg(F.transform(F.sort_array(F.collect_list(F.struct("_i", "_m"))), lambda x: x["_m"]).alias("centroid"))
 
 
+def clusters(rows: DataFrame, id_col: str, vec: str, k: int, seed: int = 1) -> DataFrame:
+    """(id, cluster): a first division of untagged vectors into ``k`` classes, by distributed k-means."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    x = rows.where(F.col(vec).isNotNull()).select(id_col, array_to_vector(F.col(vec).cast("array<double>")).alias("features"))
+    model = KMeans(k=k, seed=seed, predictionCol="cluster").fit(x)
+    return model.transform(x).select(id_col, "cluster")
+
+
 def nearest_centroid(rows: DataFrame, id_col: str, vec: str, label: str) -> DataFrame:
     """(id, label, score): the class of the nearest centroid for every row, ties to the smaller class.
     All centroids travel as one array beside each row; classes are a closed vocabulary."""

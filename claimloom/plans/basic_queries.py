@@ -100,10 +100,12 @@ def clause_frames(spark, sf_dir):
 # ---------------------------------------------------------------- names and mentions
 
 
-@query("""WITH n AS (SELECT DISTINCT p_type AS doc_id, p_name AS k FROM part WHERE p_size % 3 = 0 UNION SELECT DISTINCT p_type, split_part(p_name, ' ', 2) FROM part WHERE p_size % 2 = 0 UNION SELECT DISTINCT p_type, split_part(p_name, ' ', 1) FROM part WHERE p_size % 7 = 0)
-SELECT n.doc_id, n.k AS name, coalesce(arg_min(m.k, (-len(m.k), m.k)), n.k) AS anchor FROM n LEFT JOIN n m ON m.doc_id = n.doc_id AND NOT contains(n.k, ' ') AND contains(m.k, ' ') AND list_contains(string_split(m.k, ' '), n.k) GROUP BY n.doc_id, n.k""")
+@query("""WITH n AS (SELECT DISTINCT p_type AS doc_id, p_name AS k FROM part WHERE p_size % 3 = 0 UNION SELECT DISTINCT p_type, split_part(p_name, ' ', 2) FROM part WHERE p_size % 2 = 0 UNION SELECT DISTINCT p_type, split_part(p_name, ' ', 1) FROM part WHERE p_size % 7 = 0),
+a AS (SELECT n.doc_id, n.k AS name, coalesce(arg_min(m.k, (-len(m.k), m.k)), n.k) AS anchor FROM n LEFT JOIN n m ON m.doc_id = n.doc_id AND ((NOT contains(n.k, ' ') AND contains(m.k, ' ') AND list_contains(string_split(m.k, ' '), n.k)) OR (m.k = 'c' || n.k AND len(n.k) >= 8)) GROUP BY n.doc_id, n.k)
+SELECT a.doc_id, a.name, b.anchor FROM a JOIN a b ON b.doc_id = a.doc_id AND b.name = a.anchor""")
 def alias_clusters(spark, sf_dir):
-    """Names of each document under the longest name that holds all their words."""
+    """Names of each document under the longest name that holds all their words, or nearly equals them
+    (an "old gear" is taken for a "cold gear")."""
     p = table(spark, sf_dir, "part")
     w = F.split("p_name", " ")
     names = p.where("p_size % 3 = 0").select("p_type", F.col("p_name").alias("k")).union(p.where("p_size % 2 = 0").select("p_type", w[1])).union(p.where("p_size % 7 = 0").select("p_type", w[0])).distinct()

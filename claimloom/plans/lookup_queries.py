@@ -120,13 +120,13 @@ def alias_variants(spark, sf_dir):
     return p.select("p_partkey", F.explode(X.alias_forms("l")).alias("alias"))
 
 
-@query("""WITH h AS (SELECT l_partkey, l_suppkey, l_discount, row_number() OVER (PARTITION BY l_partkey ORDER BY l_discount DESC, l_suppkey) AS k FROM lineitem WHERE l_discount > 0.04), m AS (SELECT p_name, min(p_partkey) AS e FROM part WHERE p_partkey % 3 = 0 GROUP BY 1)
+@query("""WITH h AS (SELECT l_partkey, l_suppkey, l_discount, row_number() OVER (PARTITION BY l_partkey ORDER BY l_discount DESC, l_suppkey) AS k FROM lineitem WHERE l_discount > 0.04), m AS (SELECT p_name, min(p_partkey) AS e FROM part WHERE p_size % 3 = 0 GROUP BY 1)
 SELECT p_partkey AS query_id, coalesce(l_suppkey, e) AS entry_id, coalesce(l_discount, CASE WHEN e IS NOT NULL THEN 0.5 END, 0) AS score FROM part LEFT JOIN h ON l_partkey = p_partkey AND k = 1 LEFT JOIN m USING (p_name)""")
 def batch_lookup(spark, sf_dir):
     """The best offer for each part, else a part of its name at one half, else nothing."""
     p = table(spark, sf_dir, "part")
     hits = table(spark, sf_dir, "lineitem").where("l_discount > 0.04").select(F.col("l_partkey").alias("query_id"), F.col("l_suppkey").alias("entry_id"), F.col("l_discount").alias("score"))
-    e = p.where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("entry_id"), F.col("p_name").alias("lemma"), F.lit("NOUN").alias("pos_ud"))
+    e = p.where("p_size % 3 = 0").select(F.col("p_partkey").alias("entry_id"), F.col("p_name").alias("lemma"), F.lit("NOUN").alias("pos_ud"))
     return lookup.batch_lookup(p.select(F.col("p_partkey").alias("query_id"), "p_name"), hits, e, "query_id", "p_name")
 
 
@@ -144,7 +144,7 @@ def compound_recovery(spark, sf_dir):
 _SYN = {"red": "blue", "old": "new", "hot": "cold"}
 
 
-@query(f"""WITH {_ENTRY}, y(w, s) AS (VALUES {', '.join(f"('{a}', '{b}')" for a, b in _SYN.items())}), q AS (SELECT DISTINCT lemma AS word FROM e), k AS (SELECT lemma, canonical_id, gloss, entry_id FROM e WHERE entry_id % 7 = 0),
+@query(f"""WITH {_ENTRY}, y(w, s) AS (VALUES {', '.join(f"('{a}', '{b}')" for a, b in _SYN.items())}), q AS (SELECT DISTINCT lemma AS word FROM e), k AS (SELECT lemma, canonical_id, gloss, entry_id FROM e WHERE p_size % 7 = 0),
 t AS (SELECT word, word AS l, 0 AS o FROM q UNION ALL SELECT word, s || substr(word, len(w) + 1), 1 FROM q JOIN y ON word LIKE w || ' %'),
 x AS (SELECT word, o, lemma, canonical_id, 0 AS step, round(0.9::DOUBLE + CASE WHEN contains(gloss || ' ' || lemma, 'gear') THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN contains(canonical_id, '.noun.') THEN 0.05::DOUBLE ELSE 0 END, 6) AS score FROM t JOIN k ON lemma = l
  UNION ALL SELECT q.word, 2, lemma, canonical_id, 1, round(p_size / 100.0::DOUBLE + CASE WHEN contains(gloss || ' ' || lemma, 'gear') THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN contains(canonical_id, '.noun.') THEN 0.15::DOUBLE ELSE 0 END, 6) FROM q JOIN e ON split_part(e.lemma, ' ', 2) = split_part(q.word, ' ', 2) AND e.p_size > 45),
@@ -159,7 +159,7 @@ def synonym_resolution(spark, sf_dir):
     synonyms = q.select("word", F.concat_ws(" ", swap, one[1]).alias("synonym")).where(swap.isNotNull())
     big = e.where("p_size > 45").withColumn("_h", F.split("lemma", " ")[1])
     hits = q.select("word", one[1].alias("_h")).join(big, "_h").select("word", "canonical_id", "lemma", "microgloss", (F.col("p_size") / 100.0).alias("score"))
-    return lookup.with_synonyms(q, synonyms, e.where("entry_id % 7 = 0"), "word", "word", hits, ["gear"])
+    return lookup.with_synonyms(q, synonyms, e.where("p_size % 7 = 0"), "word", "word", hits, ["gear"])
 
 
 @query(f"""WITH {_PAIRS}, f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS k FROM s),
@@ -251,11 +251,11 @@ def updated_entries(spark, sf_dir):
     return lexicon.updated(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand"), new, ["p_partkey"])
 
 
-@query("""SELECT 'orders' AS item, count(*) AS n FROM orders WHERE o_custkey % 10 <> 0 UNION ALL SELECT 'customer', count(*) FROM customer WHERE c_custkey % 10 <> 0""")
+@query("""SELECT 'orders' AS item, count(*) AS n FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3) UNION ALL SELECT 'customer', count(*) FROM customer WHERE c_nationkey <> 3""")
 def cascading_delete(spark, sf_dir):
-    """Customers deleted, with the orders that refer to them."""
+    """The customers of a nation deleted, with the orders that refer to them."""
     c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
-    left = lexicon.removed({"customer": (c, "c_custkey"), "orders": (o, "o_custkey")}, c.where("c_custkey % 10 = 0").select("c_custkey"))
+    left = lexicon.removed({"customer": (c, "c_custkey"), "orders": (o, "o_custkey")}, c.where("c_nationkey = 3").select("c_custkey"))
     from claimloom.operators.claims import row_counts
 
     return row_counts(left)
@@ -281,14 +281,14 @@ def work_batches(spark, sf_dir):
     return lexicon.work_batches(p.select(F.col("p_partkey").alias("entry_id"), F.col("p_name").alias("lemma")), c)
 
 
-@query("""WITH w AS (SELECT p_partkey AS seq, lower(split_part(p_name, ' ', 2) || ' ' || p_type) AS lemma, p_name AS gloss, CASE p_size % 2 WHEN 0 THEN 'NOUN' ELSE 'VERB' END AS pos_ud FROM part), k AS (SELECT DISTINCT lower(split_part(p_name, ' ', 2) || ' ' || p_type) AS lemma FROM part WHERE p_partkey < 20),
+@query("""WITH w AS (SELECT p_partkey AS seq, lower(split_part(p_name, ' ', 2) || ' ' || p_type) AS lemma, p_name AS gloss, CASE p_size % 2 WHEN 0 THEN 'NOUN' ELSE 'VERB' END AS pos_ud FROM part), k AS (SELECT DISTINCT lower(split_part(p_name, ' ', 2) || ' ' || p_type) AS lemma FROM part WHERE p_size <= 2),
 f AS (SELECT *, row_number() OVER (PARTITION BY lemma, pos_ud ORDER BY seq) AS k FROM w WHERE lemma NOT IN (SELECT lemma FROM k))
 SELECT lemma, pos_ud, gloss, replace(gloss, ' ', '_') AS microgloss, 'en.' || replace(lemma, ' ', '_') || '.' || replace(gloss, ' ', '_') || '.' || lower(pos_ud) || '.lexicon_mint' AS canonical_id, 'PROVISIONAL' AS definition_tier FROM f WHERE k = 1""")
 def minted_entries(spark, sf_dir):
     """Senses that a lexicon lacks, with a microgloss from their gloss."""
     p = table(spark, sf_dir, "part")
     lemma = F.concat_ws(" ", F.split("p_name", " ")[1], "p_type")
-    have = p.where("p_partkey < 20").select(lemma.alias("lemma"))
+    have = p.where("p_size <= 2").select(lemma.alias("lemma"))
     wanted = p.select(F.col("p_partkey").alias("seq"), lemma.alias("lemma"), F.col("p_name").alias("gloss"), F.when(F.col("p_size") % 2 == 0, "NOUN").otherwise("VERB").alias("pos_ud"))
     return lexicon.minted(have, wanted)
 

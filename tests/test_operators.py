@@ -380,3 +380,15 @@ def test_patterns_in_words():
     assert lookup.RIGOR[3][1] == [0.90, 0.95, 0.98]
     with pytest.raises(ValueError):
         patterns.on_plane(None, "dreams")
+
+
+def test_clusters_and_written_files(spark, tmp_path):
+    rows = [(i, [float(i % 2 * 10), float(i % 2 * 10 + i / 100)]) for i in range(20)]
+    df = spark.createDataFrame(rows, "id int, v array<double>")
+    found = {r.id: r.cluster for r in retrieval.clusters(df, "id", "v", 2).collect()}
+    assert len({found[i] for i in range(0, 20, 2)}) == len({found[i] for i in range(1, 20, 2)}) == 1 and found[0] != found[1]
+    df.write.parquet(str(tmp_path / "t"))
+    assert govern.file_present(spark, str(tmp_path / "t")) and not govern.file_present(spark, str(tmp_path / "u"))
+    assert govern.written(spark, str(tmp_path / "t"), 20) and not govern.written(spark, str(tmp_path / "t"), 21) and not govern.written(spark, str(tmp_path))
+    with pytest.raises(ValueError):
+        claims.trust_lens(df, contradictions="guess", key=["id"], value="id")
