@@ -49,10 +49,11 @@ def projections(dim: int, table: int, width: int) -> tuple[np.ndarray, np.ndarra
 
 
 def lift(x: np.ndarray, most: float, query: bool) -> np.ndarray:
-    norm = np.linalg.norm(x, axis=1)
     if query:
-        return np.hstack([x / norm[:, None], np.zeros((len(x), 1))])
-    return np.hstack([x / most, np.sqrt(np.maximum(0.0, 1 - (norm / most) ** 2))[:, None]])
+        x = x / np.abs(x).max(axis=1, keepdims=True)
+        return np.hstack([x / np.linalg.norm(x, axis=1)[:, None], np.zeros((len(x), 1))])
+    x = x / most
+    return np.hstack([x, np.sqrt(np.maximum(0.0, 1 - (x**2).sum(1)))[:, None]])
 
 
 def cells(y: np.ndarray, table: int, width: int, size: float) -> np.ndarray:
@@ -102,7 +103,10 @@ def valid_vectors(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
             flat = column.flatten().to_numpy(zero_copy_only=False)
             offs = np.asarray(column.offsets.to_numpy()) - column.offsets[0].as_py() if len(column) else np.zeros(1, np.int64)
             size = np.diff(offs)
-            norm = np.sqrt(np.add.reduceat(flat * flat, offs[:-1])) if len(flat) else np.zeros(0)
+            # scaled by the largest component, whose square may not be a finite number
+            large = np.maximum.reduceat(np.abs(flat), offs[:-1]) if len(flat) else np.zeros(0)
+            unit = flat / np.repeat(large, size) if len(flat) else flat
+            norm = large * np.sqrt(np.add.reduceat(unit * unit, offs[:-1])) if len(flat) else large
             yield C.record([("id", batch.column(0)), ("vec", C.binary_rows(flat, offs)), ("dim", pa.array(size.astype(np.int32))), ("norm", pa.array(norm))])
 
     return rows.mapInArrow(C.lean(run), "id long, vec binary, dim int, norm double")
@@ -226,7 +230,7 @@ def nearest(rows: DataFrame, k: int = TOP_K, every: int = 20, tables: int = TABL
     laid = both.repartition(parts, "slot").sortWithinPartitions("slot", "kind", "bucket")
 
     def score(batches):
-        """Queries of a slot come first, then its rows by bucket; the best k + 1 classes of each
+        """Queries of a slot come first, then its rows by bucket; the best k + 5 classes of each
         query stay in arrays and leave when the slot ends."""
         slot, state = None, None
         for batch in batches:
@@ -237,7 +241,7 @@ def nearest(rows: DataFrame, k: int = TOP_K, every: int = 20, tables: int = TABL
                 if s[a] != slot:
                     if state:
                         yield from state.out()
-                    slot, state = s[a], Best(k + 1)
+                    slot, state = s[a], Best(k + 5)
                 if kind[a] == 0:
                     for i in range(a, e):
                         state.add(int(batch.column("id")[i].as_py()), np.frombuffer(batch.column("vec")[i].as_buffer(), np.float64), np.frombuffer(batch.column("buckets")[i].as_buffer(), np.int64))
@@ -247,10 +251,23 @@ def nearest(rows: DataFrame, k: int = TOP_K, every: int = 20, tables: int = TABL
         if state:
             yield from state.out()
 
-    near = laid.mapInArrow(C.lean(score), "q long, c long, score double").dropDuplicates(["q", "c"])
     first = Window.partitionBy("q").orderBy(F.desc("score"), "c")
-    near = near.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1).select("q", "c", "score")
-    near = C.written(near, "near")
+
+    def finalists(found: DataFrame) -> DataFrame:
+        """The best k + 1 of each query by scores that do not depend on the block in which a pair met: a
+        few more than that are scored again, each pair by itself."""
+        some = found.groupBy("q", "c").agg(F.max("score").alias("score")).withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 5)
+        pairs = some.select("q", "c").join(reps.select(F.col("rep").alias("q"), F.col("vec").alias("x")), "q").join(reps.select(F.col("rep").alias("c"), F.col("vec").alias("y")), "c").select("q", "c", "x", "y")
+
+        def again(batches):
+            for batch in batches:
+                scores = [float(np.einsum("i,i->", np.frombuffer(x.as_buffer(), np.float64), np.frombuffer(y.as_buffer(), np.float64))) for x, y in zip(batch.column(2), batch.column(3))]
+                yield C.record([("q", batch.column(0)), ("c", batch.column(1)), ("score", pa.array(scores, pa.float64()))])
+
+        scored = pairs.mapInArrow(C.lean(again), "q long, c long, score double")
+        return scored.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1).select("q", "c", "score")
+
+    near = C.written(finalists(laid.mapInArrow(C.lean(score), "q long, c long, score double")), "near")
     ids = members.select("id", "vec").join(reps.select("rep", "vec"), "vec").select(F.col("rep").alias("c"), F.col("id").alias("vec_id"))
 
     def lists(near: DataFrame) -> DataFrame:
@@ -269,7 +286,7 @@ def nearest(rows: DataFrame, k: int = TOP_K, every: int = 20, tables: int = TABL
     redo = C.written(redo, "redo")
     if not redo.limit(1).count():
         return out
-    exact = exact_near(redo, reps, k + 1).withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1).select("q", "c", "score")
+    exact = finalists(exact_near(redo, reps, k + 5))
     return lists(near.join(redo, "q", "left_anti").unionByName(exact))
 
 

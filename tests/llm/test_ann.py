@@ -81,3 +81,15 @@ def test_small_tables_give_all_candidates(spark):
     vectors = {i: [float(v) for v in np.float32(rng.standard_normal(4) * 10.0 ** rng.integers(-3, 1))] for i in range(21)}
     got = run(spark, vectors, 1)
     assert {q: len(rows) for q, rows in got.items()} == {0: 20, 20: 20}
+
+
+def test_large_numbers_keep_their_order(spark):
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((60, 5)) * 1e150
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in A.nearest(df, k=5).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
+    for q in (0, 20, 40):
+        want = sorted(((-float(np.einsum("i,i->", x[q], x[i])), i) for i in range(60) if i != q))[:5]
+        assert [got[q][j + 1] for j in range(5)] == [(i, -s) for s, i in want]
