@@ -129,11 +129,11 @@ def decayed(value: Column, age_days: Column, half_life: float) -> Column:
 def latest_version(edges: DataFrame, most: int = 64) -> DataFrame:
     """Follow SUPERSEDED-BY links (old, new) to the end by doubling: old, latest.  Each round is cut off
     from the one before, so the plan stays as long as one round."""
-    from claimloom.operators.graph import _cut
+    from claimloom.operators.graph import cut
 
-    now = _cut(edges.select("old", F.col("new").alias("latest")))
+    now = cut(edges.select("old", F.col("new").alias("latest")))
     for _ in range(most):
-        step = _cut(now.alias("a").join(now.alias("b"), F.col("a.latest") == F.col("b.old"), "left").select(F.col("a.old").alias("old"), F.coalesce("b.latest", "a.latest").alias("latest"), F.col("b.old").isNotNull().alias("moved")))
+        step = cut(now.alias("a").join(now.alias("b"), F.col("a.latest") == F.col("b.old"), "left").select(F.col("a.old").alias("old"), F.coalesce("b.latest", "a.latest").alias("latest"), F.col("b.old").isNotNull().alias("moved")))
         if not step.where("moved").limit(1).count():
             return now
         now = step.select("old", "latest")

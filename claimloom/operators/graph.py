@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 _OWN: list[str] = []
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """Ends lineage in the folder that the cluster names for checkpoints; a folder of its own only on
     a local master, where driver and executors share their disk."""
     sc = df.sparkSession.sparkContext
@@ -36,18 +36,18 @@ def ancestors(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     links = edges.select("src", "dst").where("dst IS NOT NULL").distinct()
     for hop in range(1, depth + 1):
         step = frontier.join(links, frontier["node"] == links["src"]).select("origin", F.col("dst").alias("node")).distinct()
-        frontier = _cut(step.join(seen.select("origin", "node"), ["origin", "node"], "left_anti").withColumn("depth", F.lit(hop)))
+        frontier = cut(step.join(seen.select("origin", "node"), ["origin", "node"], "left_anti").withColumn("depth", F.lit(hop)))
         seen = seen.unionByName(frontier)
     return seen
 
 
 def reach(edges: DataFrame, roots: DataFrame, most: int = 100) -> DataFrame:
     """Nodes from which a root can be reached (roots included): reverse walk until no growth."""
-    seen = frontier = _cut(roots.select("node").distinct())
+    seen = frontier = cut(roots.select("node").distinct())
     links = edges.select("src", "dst").distinct()
     for _ in range(most):
         step = links.join(frontier, links["dst"] == frontier["node"]).select(F.col("src").alias("node")).distinct()
-        frontier = _cut(step.join(seen, "node", "left_anti"))
+        frontier = cut(step.join(seen, "node", "left_anti"))
         if not frontier.limit(1).count():
             return seen
         seen = seen.unionByName(frontier)
@@ -57,10 +57,10 @@ def reach(edges: DataFrame, roots: DataFrame, most: int = 100) -> DataFrame:
 def cyclic_core(edges: DataFrame, most: int = 100) -> DataFrame:
     """Edges that remain after nodes without incoming edges are peeled off, again and again; no
     rows mean that the graph has no cycle."""
-    left = _cut(edges.select("src", "dst").distinct())
+    left = cut(edges.select("src", "dst").distinct())
     size = left.count()
     for _ in range(most):
-        kept = _cut(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi"))
+        kept = cut(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi"))
         now = kept.count()
         if now == size:
             return kept
@@ -70,11 +70,11 @@ def cyclic_core(edges: DataFrame, most: int = 100) -> DataFrame:
 
 def closure(edges: DataFrame, most: int = 64) -> DataFrame:
     """Transitive pairs (src, dst) of one relation type, by doubling."""
-    pairs = _cut(edges.select("src", "dst").distinct())
+    pairs = cut(edges.select("src", "dst").distinct())
     size = pairs.count()
     for _ in range(most):
         more = pairs.alias("a").join(pairs.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst")
-        pairs = _cut(pairs.union(more).distinct())
+        pairs = cut(pairs.union(more).distinct())
         now = pairs.count()
         if now == size:
             return pairs
@@ -90,7 +90,7 @@ def chains(edges: DataFrame, start: DataFrame, goals: DataFrame, depth: int) ->
     for _ in range(depth):
         step = front.join(links, front["node"] == links["src"]).where(~F.array_contains("path", F.col("dst")))
         step = step.select("origin", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
-        front = _cut(step.groupBy("origin", "node").agg(F.min("path").alias("path")))
+        front = cut(step.groupBy("origin", "node").agg(F.min("path").alias("path")))
         found = found.unionByName(front)
     at_goal = found.join(goals.select("node").distinct(), "node", "left_semi")
     return at_goal.groupBy("origin").agg(F.min(F.struct(F.size("path").alias("n"), "path")).alias("best")).select("origin", "best.path")

@@ -129,7 +129,7 @@ def _lexical(spark, sf_dir, k):
     best k).  What holds no term scores 0, and of that only the k smallest ids can come so far, since
     whatever has a smaller id is at least as good."""
     b, d = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
-    hits = retrieval.bm25(b, d, "item_id", "doc_id", F.col("text"), F.col("text"))
+    hits = graph.cut(retrieval.bm25(b, d, "item_id", "doc_id", F.col("text"), F.col("text")))  # read twice
     low = d.select("doc_id").orderBy("doc_id").limit(k)  # k rows
     rest = b.select("item_id").join(F.broadcast(low)).join(hits, ["item_id", "doc_id"], "left_anti").select("item_id", "doc_id", F.lit(0.0).alias("bm25"))
     return hits, hits.unionByName(rest)
