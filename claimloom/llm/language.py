@@ -90,22 +90,29 @@ def kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a @ b.T) / np.sqrt(na[:, None] * nb[None, :])
 
 
+def gram_set(text: bytes) -> np.ndarray:
+    """The codes of a lower-cased text, each once and in order."""
+    data = np.frombuffer(text, np.uint8)
+    return np.unique(grams(*collapsed(data, np.array([0, len(data)])))[0]).astype(np.int32) if len(data) else np.zeros(0, np.int32)
+
+
 def fit(texts: list[str], langs: list[str], landmarks: int = LANDMARKS, min_df: int = MIN_DF, ridge: float = RIDGE):
     """(languages, vocabulary, landmark matrix, dual weights) from training texts."""
+    return fit_sets([gram_set(t.lower().encode()) for t in texts], langs, landmarks, min_df, ridge)
+
+
+def fit_sets(sets: list[np.ndarray], langs: list[str], landmarks: int = LANDMARKS, min_df: int = MIN_DF, ridge: float = RIDGE):
+    """The same from the texts' n-grams."""
     names = sorted(set(langs))
-    order = sorted(range(len(texts)), key=lambda i: (langs[i], i))
+    order = sorted(range(len(sets)), key=lambda i: (langs[i], i))
     turn = {}
     spread = sorted(order, key=lambda i: (turn.setdefault(langs[i], [0]).__setitem__(0, turn[langs[i]][0] + 1) or turn[langs[i]][0], langs[i]))
     chosen = spread[:landmarks]  # languages by turns
-    sets = []
-    for t in texts:
-        data = np.frombuffer(t.lower().encode(), np.uint8)
-        sets.append(np.unique(grams(*collapsed(data, np.array([0, len(data)])))[0]) if len(data) else np.zeros(0, np.int32))
     codes, df = np.unique(np.concatenate([sets[i] for i in chosen]), return_counts=True)
     vocabulary = codes[df >= min(min_df, len(chosen))]
     if not len(vocabulary):
         vocabulary = codes
-    x = np.zeros((len(texts), len(vocabulary)), np.float32)
+    x = np.zeros((len(sets), len(vocabulary)), np.float32)
     for i, s in enumerate(sets):
         at = np.searchsorted(vocabulary, s)
         at[at == len(vocabulary)] = 0
@@ -114,11 +121,11 @@ def fit(texts: list[str], langs: list[str], landmarks: int = LANDMARKS, min_df:
     values, vectors = np.linalg.eigh(kernel(marks, marks).astype(float))
     good = values > 1e-6 * values.max()
     nystrom = vectors[:, good] / np.sqrt(values[good])
-    z = np.hstack([kernel(x, marks) @ nystrom, np.ones((len(texts), 1))])
+    z = np.hstack([kernel(x, marks) @ nystrom, np.ones((len(sets), 1))])
     y = np.where(np.array(langs)[:, None] == np.array(names)[None, :], 1.0, -1.0)
     share = np.array([langs.count(n) for n in names]) / len(langs)
     weight = np.array([1 / share[names.index(n)] for n in langs])
-    beta = np.linalg.solve((z * weight[:, None]).T @ z + ridge * len(texts) / 100 * np.eye(z.shape[1]), (z * weight[:, None]).T @ y)
+    beta = np.linalg.solve((z * weight[:, None]).T @ z + ridge * len(sets) / 100 * np.eye(z.shape[1]), (z * weight[:, None]).T @ y)
     return names, vocabulary.astype(np.int32), marks.astype(np.uint8), nystrom @ beta[:-1], beta[-1]
 
 
@@ -152,15 +159,25 @@ def predict(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "tex
 
 
 def fit_on(train: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"):
-    """Fit on a bounded sample of the rows that have a language and a letter."""
-    known = train.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    turn = Window.partitionBy(lang_col).orderBy(F.xxhash64(id_col), id_col)
-    some = known.select(id_col, F.col(lang_col).alias("lang")).withColumn("_n", F.row_number().over(turn)).where(F.col("_n") <= per_language).select(id_col, "_n")
-    rows = train.where(F.col(lang_col).isNotNull()).join(F.broadcast(some), id_col).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), "_n").collect()
-    rows = sorted({(r["lang"], r["_n"], r["text"]) for r in rows if r["text"] is not None})
-    if not rows:
+    """Fit on a bounded sample of the rows that have a language and a letter.  Hashes of ids first cut
+    each language to about eight times the sample, so that no language gathers; the driver gets the
+    n-grams of the sampled texts, not the texts."""
+    known = train.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # languages, a closed list
+    if not sizes:
         return None
-    return fit([t for _, _, t in rows], [n for n, _, _ in rows])
+    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, 8 * per_language / n))])[F.col("lang")]
+    near = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 31)) < share * F.lit(1 << 31))
+    turn = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "text")
+    some = near.withColumn("n", F.row_number().over(turn)).where(F.col("n") <= per_language).select("lang", "n", "text")
+
+    def run(batches):
+        for batch in batches:
+            sets = [gram_set(t.as_py().encode()) for t in lowered(batch.column(2))]
+            yield C.record([("lang", batch.column(0)), ("n", batch.column(1)), ("codes", pa.array([x.tobytes() for x in sets], pa.binary()))])
+
+    rows = sorted(tuple(r) for r in some.mapInArrow(C.lean(run), "lang string, n int, codes binary").collect())
+    return fit_sets([np.frombuffer(c, np.int32) for _, _, c in rows], [lang for lang, _, _ in rows])
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
