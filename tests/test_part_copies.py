@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from claimloom.operators import classes
 from claimloom.plans import queries as plans
 
 COLUMNS = "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double"
@@ -73,3 +74,11 @@ def test_lookups_of_copies(spark, tables):
     rows, df = same(spark, tables(part=(copies(1200), COLUMNS), lineitem=(lines, "l_partkey long, l_suppkey long, l_discount double")), "batch_lookup")
     assert len(rows) == 1200 and {r.score for r in rows} >= {0.5, 0.1}
     assert most_rows(df, "Join") <= 1200  # not 1200 x 200
+
+
+def test_overlap_of_copies(spark, tables, monkeypatch):
+    monkeypatch.setattr(classes, "MOST", 50)
+    odd = [(2000, "cold hot", "Brand#1", "SMALL", 2, 900.0), (2001, None, "Brand#1", "SMALL", 2, 900.0), (None, "red bolt", "Brand#2", "SMALL", 2, 900.0)]
+    rows, df = same(spark, tables(part=(copies(1200) + odd, COLUMNS)), "slot_overlap")
+    assert len(rows) == 60 * 400 + 20 * 3 + 403
+    assert most_rows(df, "Join") < 2000  # pairs of classes, in pieces of about 50 rows
