@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimloom.model import tier_rank
-from claimloom.operators import graph, retrieval
+from claimloom.operators import classes, graph, retrieval
 
 # Strength of modal verbs, and what a frame demands of its answer.
 MODALITY = {"may": 1, "can": 1, "should": 2, "will": 3, "shall": 4, "must": 4}
@@ -118,8 +118,11 @@ def conflicts(nodes: DataFrame, exclusive: DataFrame) -> DataFrame:
     trigger_contradiction: each one's triggers meet the other's anti-triggers."""
     both = exclusive.unionByName(exclusive.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().groupBy("a").agg(F.collect_set("b").alias("excludes"))
     n = nodes.join(both.withColumnRenamed("a", "desired_state"), "desired_state", "left")
-    l, r = n.alias("l"), n.alias("r")
-    pairs = l.join(r, (F.col("l.problem") == F.col("r.problem")) & (F.col("l.id") < F.col("r.id")))
+    # nodes alike in all but their id meet others once; every kind is the same from both sides
+    held = classes.classes(n, "id", "ids").withColumn("_order", F.struct(F.array_min("ids").alias("least"), F.xxhash64(*[c for c in n.columns if c != "id"]).alias("h")))
+    l, r = classes.dealt(held, held, ["problem"])
+    l, r = l.alias("l"), r.alias("r")
+    pairs = l.join(r, (F.col("l.problem") == F.col("r.problem")) & (F.col("l._salt") == F.col("r._salt")) & (F.col("l._order") <= F.col("r._order")))
     c = lambda x: (F.col(f"l.{x}"), F.col(f"r.{x}"))
     (la, ra), (lt, rt), (lx, rx) = c("actions"), c("triggers"), c("anti_triggers")
     goals = F.coalesce(F.array_contains(F.col("l.excludes"), F.col("r.desired_state")), F.lit(False))
@@ -129,7 +132,10 @@ def conflicts(nodes: DataFrame, exclusive: DataFrame) -> DataFrame:
     tail = (half > 0) & (F.slice(la, F.lit(1), half) == F.slice(ra, F.lit(1), half)) & goals
     crossed = F.arrays_overlap(lt, rx) & F.arrays_overlap(rt, lx)
     kinds = F.array_compact(F.array(*[F.when(F.coalesce(test, F.lit(False)), name) for name, test in (("action_inversion", inverted | leading | tail), ("state_exclusion", goals), ("trigger_contradiction", crossed))]))
-    return pairs.select(F.col("l.id").alias("left_id"), F.col("r.id").alias("right_id"), F.explode(kinds).alias("kind"))
+    found = pairs.select(F.col("l.ids").alias("_l"), F.col("r.ids").alias("_r"), (F.col("l._order") == F.col("r._order")).alias("_own"), kinds.alias("_kinds")).where(F.size("_kinds") > 0)
+    each = found.select(F.explode("_l").alias("_a"), "_r", "_own", "_kinds").select("_a", F.explode("_r").alias("_b"), "_own", "_kinds")
+    each = each.where(F.when(F.col("_own"), F.col("_a") < F.col("_b")).otherwise(F.col("_a") != F.col("_b")))
+    return each.select(F.least("_a", "_b").alias("left_id"), F.greatest("_a", "_b").alias("right_id"), F.explode("_kinds").alias("kind"))
 
 
 def by_classes(situations: DataFrame, bindings: DataFrame, most_classes: int = 5, k: int = 30) -> DataFrame:

@@ -82,3 +82,12 @@ def test_overlap_of_copies(spark, tables, monkeypatch):
     rows, df = same(spark, tables(part=(copies(1200) + odd, COLUMNS)), "slot_overlap")
     assert len(rows) == 60 * 400 + 20 * 3 + 403
     assert most_rows(df, "Join") < 2000  # pairs of classes, in pieces of about 50 rows
+
+
+def test_conflicts_of_copies(spark, tables, monkeypatch):
+    monkeypatch.setattr(classes, "MOST", 50)
+    names = ("hot rod", "cold gear", "a b", "c SMALL", "new bolt", "old cold")
+    parts = [(i, names[i % 6], "Brand#1", ("SMALL", "LARGE")[i % 5 % 2], 1 + i % 7, 900.0) for i in range(600)]
+    rows, df = same(spark, tables(part=(parts + [(None, "hot rod", "Brand#1", "SMALL", 1, 900.0), (601, "hot rod", None, "SMALL", 1, 900.0)], COLUMNS)), "wisdom_conflicts")
+    assert {r.kind for r in rows} == {"action_inversion", "state_exclusion", "trigger_contradiction"}
+    assert most_rows(df, "Join") < 5000 < len(rows)
