@@ -152,15 +152,27 @@ def cascade(situations: DataFrame, nodes: DataFrame, route: list[str], similarit
 
     Fast situations skip the store.  The others are routed by equal ``route`` fields, pass the gate of
     applicability (uncertain ones stay, marked), keep the ``near`` most similar, lose those of another
-    context, and the best ``k`` come with their edges."""
-    asked = situations.where("quality_tier <> 'FAST'")
-    s, n = asked.alias("s"), nodes.alias("n")
-    on = F.lit(True)
+    context, and the best ``k`` come with their edges.  ``similarity`` compares fields of ``s`` and ``n``
+    other than their ids: situations and nodes that are alike meet once."""
+    alike = [c for c in situations.columns if c != "situation"]
+    asked = classes.classes(situations.where("quality_tier <> 'FAST'"), "situation", "_asked")
+    asked = asked.withColumn("_least", F.array_min("_asked")).withColumn("_h", F.xxhash64(*alike))
+    # of nodes alike in all but the id, which are equally similar, only the first can be among the near
+    same = [c for c in nodes.columns if c != "node"]
+    first = nodes.withColumn("_n", F.row_number().over(Window.partitionBy(*same).orderBy(F.asc("node")))).where(F.col("_n") <= near)
+    first = first.groupBy(*same).agg(F.collect_list(F.struct("node")).alias("_nodes"))
+    s, n = classes.dealt(asked.drop("_asked"), first, route)
+    s, n = s.alias("s"), n.alias("n")
+    on = F.col("s._salt") == F.col("n._salt")
     for f in route:
         on = on & (F.col(f"s.{f}") == F.col(f"n.{f}"))
     met = s.join(n, on).withColumn("gate", applicability(F.col("s.state"), F.col("n.applies"), F.col("n.anti"))).where("gate <> 'BLOCKED'")
-    scored = met.select("s.situation", F.col("n.node").alias("node"), "gate", F.round(similarity, 6).alias("similarity"), (F.col("n.context").isNull() | (F.col("n.context") == F.col("s.context"))).alias("fits"))
-    close = retrieval.top_k(scored, ["situation"], "similarity", "node", near).where("fits").drop("rank", "fits")
+    scored = met.select("s._least", "s._h", F.inline("n._nodes").alias("node"), "gate", F.round(similarity, 6).alias("similarity"), (F.col("n.context").isNull() | (F.col("n.context") == F.col("s.context"))).alias("fits"))
+    most = retrieval.top_k(scored, ["_least", "_h"], "similarity", "node", near).drop("rank")
+    keys = asked.select(F.col("_least").alias("_l"), F.col("_h").alias("_g"), "_asked")
+    each = most.join(keys, (F.col("_h") == F.col("_g")) & F.col("_least").eqNullSafe(F.col("_l"))).select(F.explode("_asked").alias("situation"), "node", "gate", "similarity", "fits")
+    # once more by situation, whose id may stand on rows of several classes
+    close = retrieval.top_k(each, ["situation"], "similarity", "node", near).where("fits").drop("rank", "fits")
     best = retrieval.top_k(close, ["situation"], "similarity", "node", k)
     tied = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "kind")).groupBy(F.col("a").alias("node")).agg(F.array_sort(F.collect_set(F.concat_ws(":", "kind", "b"))).alias("edges"))
     return best.join(tied, "node", "left").withColumn("edges", F.coalesce("edges", F.array().cast("array<string>")))

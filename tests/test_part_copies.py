@@ -91,3 +91,11 @@ def test_conflicts_of_copies(spark, tables, monkeypatch):
     rows, df = same(spark, tables(part=(parts + [(None, "hot rod", "Brand#1", "SMALL", 1, 900.0), (601, "hot rod", None, "SMALL", 1, 900.0)], COLUMNS)), "wisdom_conflicts")
     assert {r.kind for r in rows} == {"action_inversion", "state_exclusion", "trigger_contradiction"}
     assert most_rows(df, "Join") < 5000 < len(rows)
+
+
+def test_cascade_of_copies(spark, tables, monkeypatch):
+    monkeypatch.setattr(classes, "MOST", 7)
+    parts = [(i, ("red bolt", "old gear", "small x")[i % 3], "Brand#1", ("SMALL", "LARGE")[i % 2], 1 + i % 8, 900.0) for i in range(2400)]
+    rows, df = same(spark, tables(part=(parts, COLUMNS)), "wisdom_cascade")
+    assert {r.gate for r in rows} == {"APPLIES", "UNCERTAIN"}
+    assert most_rows(df) < 15000  # not 120 x 2400
