@@ -225,11 +225,53 @@ def lean(function):
     return run
 
 
+GATHERED = 1_000_000
+
+
+def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The vertices of edges (a, b) and the smallest vertex that each one reaches."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(ids))
+    while len(x):
+        x, y = root[x], root[y]
+        low, high = np.minimum(x, y), np.maximum(x, y)
+        open_ = low != high
+        x, y = low[open_], high[open_]
+        np.minimum.at(root, y, x)
+        while (root[root] != root).any():
+            root = root[root]
+    return ids, ids[root]
+
+
+def contracted(edges: DataFrame, own: bool = False) -> DataFrame:
+    """``edges`` (a, b) with those of each partition replaced by stars to the smallest vertex, which join
+    the same vertices; with ``own`` each such centre is also given, as its own."""
+
+    def run(batches):
+        a = b = np.zeros(0, np.int64)
+        fresh: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            fresh.append((long_col(batch, "a"), long_col(batch, "b")))
+            if sum(len(x) for x, _ in fresh) > max(GATHERED, len(a)):  # stars bound what is held by the vertices
+                a, b = roots(np.concatenate([a, *[x for x, _ in fresh]]), np.concatenate([b, *[y for _, y in fresh]]))
+                fresh = []
+        a, b = roots(np.concatenate([a, *[x for x, _ in fresh]]), np.concatenate([b, *[y for _, y in fresh]]))
+        if not own:
+            a, b = a[a != b], b[a != b]
+        for i in range(0, len(a), 100_000):
+            yield record([("a", pa.array(a[i : i + 100_000])), ("b", pa.array(b[i : i + 100_000]))])
+
+    return edges.mapInArrow(lean(run), "a long, b long")
+
+
 def min_components(edges: DataFrame, name: str, most_rounds: int = 200) -> DataFrame:
     """Connected components of undirected ``edges`` (a, b): columns id, component (smallest id).
 
-    Large-star and small-star rounds over aggregates and joins; each round is written to the
-    shared folder, and only a count reaches the driver.  Isolated vertices do not occur.
+    Each partition first turns its edges into stars, as they come and once more by vertex.  No more
+    than GATHERED edges that remain are settled in one task.  More take large-star and small-star
+    rounds over aggregates and joins; each round is written to the shared folder, and only a count
+    reaches the driver.  Isolated vertices do not occur.
     """
 
     def stars(e: DataFrame, large: bool) -> DataFrame:
@@ -247,8 +289,14 @@ def min_components(edges: DataFrame, name: str, most_rounds: int = 200) -> DataF
         r = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         return r["n"], r["h"]
 
-    now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), name)
+    spark = edges.sparkSession
+    near = contracted(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b"))
+    now = written(contracted(near.repartition(shuffle_parts(spark), "a")), name, free=True)
     state = measure(now)
+    if state[0] <= GATHERED:
+        out = written(contracted(now.coalesce(1), own=True), name)
+        dropped(now)
+        return out.select(F.col("a").alias("id"), F.col("b").alias("component"))
     for _ in range(most_rounds):
         if not state[0]:
             break
